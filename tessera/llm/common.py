@@ -105,3 +105,12 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty. Pure ASCII texts take the fast built-in."""
     text = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def store(uri: str):
+    """pyarrow's file system and path for a Spark path, for the workers' own reads and writes in the shared folder."""
+    from pyarrow import fs
+
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
+    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
