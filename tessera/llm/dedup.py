@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm.common import FILE, ROW, ascii_lower, located, remove, save, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, its memory bounded over all stores of an executor; commits write what changed and reserve no space ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_digest(norm: Column) -> Column:
@@ -24,9 +30,9 @@ def sha256_digest(norm: Column) -> Column:
 
 def ingest(spark: SparkSession, log: str, schema, checkpoint: str, bytes_per_trigger: int = 16 << 30) -> None:
     """Fold what is new in the log into the state below `checkpoint`; may be called again after the log has grown."""
-    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    saved = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(log)
         state = arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("n"))
