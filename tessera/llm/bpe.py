@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Bytes map to printable characters by the usual byte table, merges run in the library, and decoding reverses the table.
-A text is cut at spaces where the split pattern cuts too, and the ids of each piece are remembered, so a word is merged
-once a worker and not once an occurrence. A cut before a space is safe if the character before it or after it isn't
-white space; a text with any other space is encoded whole.
+A text is cut at spaces and around line ends where the split pattern cuts too, and the ids of each piece are remembered,
+so a word is merged once a worker and not once an occurrence. A cut before a space, and cuts before and after a line
+end, are safe where no other white space is next to it; a text with any other white space of this kind is encoded whole.
 
 Memory is bounded: the pieces remembered come in two generations of a fixed number, and Arrow batches have a byte limit.
 """
@@ -72,8 +72,9 @@ class Encoder:
 
     def __init__(self, tokenizer, remember: int = 250_000):
         self.tokenizer, self.remember = tokenizer, remember
-        self.young: dict[str, bytes | None] = {"": b""}
+        self.young: dict[str, bytes | None] = {"": None}  # "": a line end with white space next to it
         self.old: dict[str, bytes | None] = {}
+        (self.line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -87,21 +88,37 @@ class Encoder:
                 young[p] = None  # the space may belong to a run
             else:
                 todo.append(p)
-        for at in range(0, len(todo), 2000):
-            some = todo[at : at + 2000]
+        plain = [p for p in todo if p[0] == " " and len(p.split()) == 1 and not p[-1].isspace()]
+        for at in range(0, len(plain), 1000):  # many at once, line ends between them: these cut, and their id is known
+            some = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(some) - 1:
+                todo = todo + some  # not as plain as they looked
+                continue
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            for p, i, j in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                young[p] = raw[i:j]
+        todo = [p for p in todo if p not in young]
+        for at in range(0, len(todo), 1000):
+            some = todo[at : at + 1000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 young[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            if pieces is None:
+            if "\0" in text or not text:
                 out.append(self.whole(text))
                 continue
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            if not pieces[0]:
+                del pieces[0]
+            if not pieces[-1]:
+                del pieces[-1]
             if new := set(pieces).difference(self.young):
                 if len(self.young) + len(new) > self.remember:
-                    self.old, self.young = self.young, {"": b""}
+                    self.old, self.young = self.young, {"": None}
                     new = set(pieces).difference(self.young)
                 self.learn(new)
             try:
