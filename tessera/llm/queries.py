@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm.common import prepare, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, held_out, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_dedup
 
