@@ -66,6 +66,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.winnow import as_string, hashes, likeness, with_fingerprint, with_next
+
+    rows = with_next(table(spark, sf_dir, "documents"), "own")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = with_fingerprint(rows, "edited", "changed")
+    return rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_string(F.col("own")).alias("fingerprint"), as_string(F.col("changed")).alias("edited_fingerprint"),
+        likeness(hashes(F.col("own")), hashes(F.col("changed"))).alias("near_edited"), likeness(hashes(F.col("own")), hashes(F.col("next_own"))).alias("near_next"),
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat import chat_examples, loss_text, parse
 
