@@ -80,6 +80,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat import chat_examples, loss_text, parse
 
