@@ -19,7 +19,7 @@ UNION ALL
 SELECT o_orderkey, 'P', CAST(64 + o_custkey % 5 AS INT), (1 + o_orderkey % 11) / 10.0e0, 0.5e0 FROM orders WHERE o_orderstatus <> 'P'
 """
 CLUSTERS = "SELECT DISTINCT CAST(l_partkey % 256 AS INT) AS feature, CAST(l_partkey % 256 % 16 + 1 AS INT) AS m FROM lineitem"
-ASSIGNMENTS = "SELECT o_orderkey AS row_idx, CAST(o_orderkey % 8 + 1 AS INT) AS k FROM orders"
+ASSIGNMENTS = "SELECT o_orderkey AS row_idx, CAST(o_custkey % 8 + 1 AS INT) AS k FROM orders"
 DOC_PAIRS = """
 SELECT a.doc_id AS row_idx, a.text AS left_text, b.text AS right_text, a.doc_id + 0 AS example_id,
        CASE WHEN coalesce(lb.quality, 0) > coalesce(la.quality, 0) THEN b.text ELSE a.text END AS chosen,
