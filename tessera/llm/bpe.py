@@ -3,7 +3,7 @@
 Bytes map to printable characters by the usual byte table, merges run in the library, and decoding reverses the table.
 A text is cut at spaces and around line ends where the split pattern cuts too, and the ids of each piece are remembered,
 so a word is merged once a worker and not once an occurrence. A cut before a space, and cuts before and after a line
-end, are safe where no other white space is next to it; a text with any other white space of this kind is encoded whole.
+end, are safe where no other white space is next to it; a text with any such cut in doubt is encoded whole.
 
 Memory is bounded: the pieces remembered come in two generations of a fixed number, and Arrow batches have a byte limit.
 """
@@ -84,11 +84,11 @@ class Encoder:
         for p in pieces:
             if p in old:
                 young[p] = old[p]
-            elif p[0] == " " and (len(p) == 1 or p[1].isspace()):
-                young[p] = None  # the space may belong to a run
+            elif p != "\n" and (p[-1].isspace() or p[0] == " " and p[1].isspace() or p[0] != " " and p[0].isspace()):
+                young[p] = None  # white space that may belong to a run
             else:
                 todo.append(p)
-        plain = [p for p in todo if p[0] == " " and len(p.split()) == 1 and not p[-1].isspace()]
+        plain = [p for p in todo if p[0] == " " and len(p.split()) == 1]
         for at in range(0, len(plain), 1000):  # many at once, line ends between them: these cut, and their id is known
             some = plain[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")

@@ -93,7 +93,7 @@ def located(docs: DataFrame, label: str, *columns: Column | str) -> DataFrame:
     """
     columns = columns or ("*",)
     if FILE in docs.columns and ROW in docs.columns:
-        return docs.select(*columns, *([] if "*" in columns else [FILE, ROW]))
+        return docs.select(*columns, *([] if any(isinstance(c, str) and c == "*" for c in columns) else [FILE, ROW]))
     place = F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)
     try:
         return docs.select(*columns, *place)

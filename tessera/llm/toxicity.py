@@ -149,7 +149,7 @@ class Trainer:
         return Model(logit, 1.0, float(bias[1] - bias[0]), self.low, self.high, window)
 
 
-def train(texts: list[str], labels: list[int], prior: float | None = None, window: int = 8, dim: int = 8, buckets: int = 1 << 18, low: int = 3, high: int = 5, epochs: int = 15, rounds: int = 6, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], prior: float | None = None, window: int = 8, dim: int = 8, buckets: int = 1 << 18, low: int = 3, high: int = 5, epochs: int = 30, rounds: int = 4, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
     """`prior`: the share of toxic rows among all labelled ones; that of `labels` by default."""
     y, bags = np.array(labels, np.int64), [words(t) for t in texts]
     some = np.array([bool(b) for b in bags], bool)
