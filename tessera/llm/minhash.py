@@ -10,9 +10,12 @@ ten bits after them, in 16 bits. Equal sets become one class before anything els
 2. Stars. In each bucket of two or more, every document is paired only with the bucket's hub: the document that meets
    most others over all its bands. Pairs grow with the rows, not with the square of a bucket.
 3. Check. Pairs whose collision-corrected estimate is far below the threshold go; the others are verified on full sets.
-4. Rest. Links make components. A bucket that still holds different components yields its pairs across components
-   (within set sizes that can reach the threshold); they are checked like the first, so no link between components that
-   share a bucket is left out. Links inside a component can't change it and are not listed.
+4. Rest. Links make components. Two documents x and y of different components that share a bucket also share its hub
+   h, with which each has its overlap. They overlap by no more than min(|x & h|, |y & h|) + |(x & y) - h|, so a link
+   needs at least p|x| - |x & h| common shingles outside h (p: the threshold). Of the shingles outside h, the rarest in
+   the hub's family come first, and a document needs to offer only |x - h| - need + 1 of them (prefix filter); pairs
+   come from shared offers. Pairs that could be linked by their overlap with h alone are found by that bound. So no link
+   between components that share a bucket is left out, and a family of copies that differ too much gives few pairs.
 5. Components by repeated hooking to smaller neighbours and shortcutting, each round cut by a written table.
 
 Scale: texts are shuffled once (only candidates' texts come back for verification), band rows have 16 bytes, hot buckets
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tessera.llm.common import FILE, ROW, located, prepare, save, scratch
 
@@ -251,18 +254,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     live = save(rows.join(counts, "bucket"), scratch(spark, "near-live"))
     degree = live.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("degree"))
     hubs = live.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("m"))).alias("h")).select("bucket", (-F.col("h.m")).alias("a"))
-    stars = live.join(hubs, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    stars = save(live.join(hubs, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), scratch(spark, "near-stars"))
 
     links, texts = _check(spark, docs, reps, stars, width, percent, "near-star")
     comp = components(spark, links, "near-cc")
-    root = live.join(comp, live["rep"] == comp["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = root.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    rest = save(root.join(mixed, "bucket").join(reps.select("rep", "n"), "rep"), scratch(spark, "near-mixed"))
-    left, right = rest.select("bucket", F.col("rep").alias("a"), F.col("root").alias("x"), F.col("n").alias("na")), rest.select("bucket", F.col("rep").alias("b"), F.col("root").alias("y"), F.col("n").alias("nb"))
-    size = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    across = left.join(right, "bucket").where((F.col("x") < F.col("y")) & size).select("a", "b").distinct()
-    known = stars.select(F.col("a").alias("p"), F.col("b").alias("q")).union(stars.select(F.col("b").alias("p"), F.col("a").alias("q")))
-    across = across.join(known, (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")), "left_anti")
+    across = save(_across(spark, docs, reps, stars, comp, width, percent), scratch(spark, "near-across"))
     more, _ = _check(spark, docs, reps, across, width, percent, "near-rest")
     if not more.isEmpty():
         comp = components(spark, links.unionByName(more), "near-cc2")
@@ -274,6 +270,49 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return known.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"), FILE, ROW)
 
 
+def _across(spark: SparkSession, docs: DataFrame, reps: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub's family that lie in different components and could be linked."""
+    named = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    family = named(named(stars, "a"), "b")
+    mixed = family.groupBy("a").agg(F.count_if(F.col("root_a") != F.col("root_b")).alias("other")).where("other > 0").select("a")
+    family = save(family.join(mixed, "a"), scratch(spark, "near-family"))
+    ids = family.select(F.col("a").alias("rep")).union(family.select(F.col("b").alias("rep"))).distinct()
+    texts = save(docs.join(ids.join(reps.select("rep", FILE, ROW), "rep"), [FILE, ROW]).select("rep", "text"), scratch(spark, "near-family-texts"))
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
+    fields = [("a", T.LongType()), ("b", T.LongType()), ("n", T.LongType()), ("inside", T.LongType()), ("outside", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField(*x) for x in fields])
+
+    def run(batches):
+        last, hub = None, None
+        for batch in batches:
+            n, inside, outside = [], [], []
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
+                if a != last or hub is None:
+                    last, hub = a, shingle_set(ta, width)
+                own = shingle_set(tb, width)
+                out = np.setdiff1d(own, hub, assume_unique=True)
+                n.append(len(own))
+                inside.append(len(own) - len(out))
+                outside.append(out.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], names=schema.names)
+
+    seen = family.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    seen = save(seen.join(family.select("a", "b", "root_a", "root_b"), ["a", "b"]), scratch(spark, "near-overlaps"))
+    need = F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) - F.col("inside")
+    offers = seen.select("a", "b", "n", F.col("root_b").alias("root"), (F.size("outside") - F.greatest(F.lit(1), need) + 1).alias("most"), F.explode("outside").alias("key"))
+    common = offers.groupBy("a", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    offers = offers.join(common, ["a", "key"], "left").withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("c", F.lit(1)), "key")))
+    offers = save(offers.where("r <= most AND c > 1").select("a", "b", "n", "root", "key"), scratch(spark, "near-offers"))
+    small = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    again = offers.toDF("a", "b2", "n2", "root2", "key")
+    met = offers.join(again, ["a", "key"]).where((F.col("root") < F.col("root2")) & small).select("b", "b2").distinct()
+    near = seen.where(need <= 0).select("a", "b", "n", "inside", F.col("root_b").alias("root"), (F.col("root_a") != F.col("root_b")).alias("apart"))
+    far = near.where("apart").drop("apart")
+    alone = far.join(near.drop("apart").toDF("a", "b2", "n2", "inside2", "root2"), "a").where((F.col("root") != F.col("root2")) & (F.lit(100 + percent) * F.least("inside", "inside2") >= F.lit(percent) * (F.col("n") + F.col("n2"))) & small)
+    pairs = met.unionByName(alone.select("b", "b2"))
+    return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
 def _check(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
     """The pairs that are links; and the candidates' texts."""
     likely = save(estimated(pairs, reps, percent / 100), scratch(spark, f"{label}-likely"))
