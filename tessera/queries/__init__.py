@@ -1,8 +1,8 @@
 """Queries by operator id, each with the DuckDB SQL that must give the same rows."""
 
-from tessera.queries import audits, features, views
+from tessera.queries import audits, features, more, views
 
-MODULES = (features, views, audits)
+MODULES = (features, views, audits, more)
 
 
 def queries() -> dict:
