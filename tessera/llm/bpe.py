@@ -70,7 +70,7 @@ def from_json(path: str):
 class Encoder:
     """Encodes texts to little-endian uint32 bytes, remembering pieces."""
 
-    def __init__(self, tokenizer, remember: int = 250_000):
+    def __init__(self, tokenizer, remember: int = 400_000):
         self.tokenizer, self.remember = tokenizer, remember
         self.young: dict[str, bytes | None] = {"": None}  # "": a line end with white space next to it
         self.old: dict[str, bytes | None] = {}
@@ -80,8 +80,14 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        old, young, todo = self.old, self.young, []
-        for p in pieces:
+        old, young, todo, ended = self.old, self.young, [], []
+        for p in list(pieces):
+            if p in old:
+                young[p] = old[p]
+            elif len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "\u2000":  # the pattern cuts before the mark
+                ended.append(p)
+                pieces |= {p[:-1], p[-1]}
+        for p in pieces.difference(young).difference(ended):
             if p in old:
                 young[p] = old[p]
             elif p != "\n" and (p[-1].isspace() or p[0] == " " and p[1].isspace() or p[0] != " " and p[0].isspace()):
@@ -104,6 +110,9 @@ class Encoder:
             some = todo[at : at + 1000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 young[p] = array("I", e.ids).tobytes()
+        for p in ended:
+            start = young[p[:-1]]
+            young[p] = None if start is None else start + young[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
