@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.sources.storage import save, scratch
+
 
 def _neighbours(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     a, b, x = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
@@ -121,12 +123,15 @@ def sub_communities(edges: DataFrame, clusters: DataFrame, gamma: float = 1.5, m
 
 def label_propagation(edges: DataFrame, threshold: float = 0.0, rounds: int = 50) -> DataFrame:
     """feature, root: connected components of edges at or above the threshold (root: smallest feature)."""
+    spark = edges.sparkSession
     both = edges.where(F.col("weight") >= threshold).select("src", "dst")
-    both = both.union(both.select("dst", "src")).toDF("a", "b").distinct().cache()
+    both = both.union(both.select("dst", "src")).toDF("a", "b").distinct()
+    both = save(both, scratch(spark, "propagation-edges"))
     now = both.select(F.col("a").alias("feature"), F.col("a").alias("root")).distinct()
     for _ in range(rounds):
         seen = both.join(now, both["b"] == now["feature"]).groupBy("a").agg(F.min("root").alias("r"))
-        nxt = now.join(seen, now["feature"] == seen["a"]).select("feature", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("changed")).checkpoint()
+        nxt = now.join(seen, now["feature"] == seen["a"]).select("feature", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("changed"))
+        nxt = save(nxt, scratch(spark, "propagation"))
         now = nxt.select("feature", "root")
         if nxt.where("changed").isEmpty():
             break

@@ -125,6 +125,11 @@ def test_leiden_splits_two_cliques():
     assert set(got) == {*src, *dst} and C.modularity(src, dst, np.ones(600), got) > C.modularity(src, dst, np.ones(600), {v: v for v in got})
 
 
+def test_label_propagation(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 9, 0.1), (9, 8, 1.0), (8, 7, 1.0), (7, 6, 1.0)], "src int, dst int, weight double")
+    assert dict(map(tuple, C.label_propagation(e, 0.5).collect())) == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6}
+
+
 def test_kmeans_labels_are_nearest_and_svd_reconstructs(spark):
     rng = np.random.default_rng(3)
     x = rng.random((60, 5)) + np.eye(5)[np.arange(60) % 5] * 4
