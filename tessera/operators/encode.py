@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, functions as F
 SPANS = (("P", "prompt"), ("C", "chosen"), ("R", "rejected"))
 
 
-def hash_encode(examples: DataFrame, d: int = 512, most: int = 64, spans=SPANS) -> tuple[DataFrame, DataFrame]:
-    """Activations and span lengths of a hashing encoder in built-ins: one feature a token, act 1 + letters / 10."""
+def hash_encode(examples: DataFrame, d: int = 512, most: int | None = 64, spans=SPANS) -> tuple[DataFrame, DataFrame]:
+    """Activations and span lengths of a hashing encoder in built-ins: one feature a token, act 1 + letters / 10.
+
+    Of each span the first `most` tokens count; None: all of them.
+    """
     acts = lens = None
     for side, column in spans:
-        t = examples.select("row_idx", F.lit(side).alias("side"), F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("[a-z]+"), F.lit(0)), 1, most).alias("t"))
+        tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+        t = examples.select("row_idx", F.lit(side).alias("side"), (tokens if most is None else F.slice(tokens, 1, most)).alias("t"))
         a = t.select("row_idx", "side", F.posexplode("t").alias("pos", "token")).select("row_idx", "side", "pos", (F.conv(F.left(F.md5("token"), F.lit(7)), 16, 10).cast("long") % d).cast("int").alias("feature"), (1 + F.length("token") / 10.0).alias("act"))
         n = t.select("row_idx", "side", F.size("t").alias("n_tokens"))
         acts, lens = (a, n) if acts is None else (acts.unionByName(a), lens.unionByName(n))

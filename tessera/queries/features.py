@@ -91,9 +91,9 @@ a AS (SELECT row_idx, len(t) AS n_tokens, unnest(t) AS token FROM x),
 f AS (SELECT row_idx, CAST(CAST('0x' || left(md5(token), 7) AS INT) % 512 AS INT) AS feature, max(1 + length(token) / 10.0e0) AS max_act, count(*) / CAST(any_value(n_tokens) AS DOUBLE) AS freq FROM a GROUP BY 1, 2)"""
 
 
-def _hashed(spark, d):
+def _hashed(spark, d, most=64):
     docs = I.base(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("chosen"))
-    return X.pool(*encode.hash_encode(docs, 512, 64, (("C", "chosen"),)))
+    return X.pool(*encode.hash_encode(docs, 512, most, (("C", "chosen"),)))
 
 
 @query("e6_span_pool", f"WITH {_HASHED} SELECT row_idx, feature, {R('max_act')} AS max_act, {R('freq')} AS freq FROM f")
@@ -101,6 +101,14 @@ def e6(spark, d):
     return _hashed(spark, d).select("row_idx", "feature", r6(F.col("max_act")).alias("max_act"), r6(F.col("freq")).alias("freq"))
 
 
+_WHOLE = _HASHED.replace("list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 64)", "regexp_extract_all(lower(text), '[a-z]+')")
+
+
+@query("e6_span_pool_whole", f"WITH {_WHOLE} SELECT row_idx, feature, {R('max_act')} AS max_act, {R('freq')} AS freq FROM f")
+def e6_whole(spark, d):
+    return _hashed(spark, d, None).select("row_idx", "feature", r6(F.col("max_act")).alias("max_act"), r6(F.col("freq")).alias("freq"))
+
+
 @query("e14_delta", f"{BASE} SELECT row_idx, feature, {R('''sum(CASE side WHEN 'C' THEN max_act ELSE -max_act END)''')} AS d_max, {R('''sum(CASE side WHEN 'C' THEN freq ELSE -freq END)''')} AS d_freq FROM features WHERE side <> 'P' GROUP BY 1, 2")
 def e14(spark, d):
     return X.delta(I.features(spark, d)).select("row_idx", "feature", r6(F.col("d_max")).alias("d_max"), r6(F.col("d_freq")).alias("d_freq"))
