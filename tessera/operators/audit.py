@@ -145,13 +145,13 @@ def replicates(pairs: DataFrame, n: int, seed: int = 0, kind: str = "permutation
     """
     size = pairs.agg(F.count(F.lit(1)).alias("size"))
     reps = pairs.sparkSession.range(n).withColumnRenamed("id", "rep")
-    place = pairs.select(F.col("id").alias("i")).crossJoin(F.broadcast(size)).crossJoin(reps)  # replicates x communities
+    place = pairs.select(F.col("id").alias("i")).crossJoin(F.broadcast(size)).crossJoin(reps)  # replicates x pairs
     if kind == "permutation":
         other = place.withColumn("j", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "i"), "i")) - 1).withColumn("i2", F.col("i"))
     else:
         draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "rep", "i"), F.col("size"))
         other = place.withColumn("i2", draw(1)).withColumn("j", F.col("i2") if paired else draw(2))
-    x, y = F.broadcast(pairs.select(F.col("id").alias("i2"), "x")), F.broadcast(pairs.select(F.col("id").alias("j"), "y"))
+    x, y = pairs.select(F.col("id").alias("i2"), "x"), pairs.select(F.col("id").alias("j"), "y")
     return other.join(x, "i2").join(y, "j").groupBy("rep").agg(corr("x", "y").alias("r"))
 
 

@@ -112,7 +112,7 @@ def rank_compound(scores: DataFrame, conditions: list[tuple[int, str, float]], k
 
 def member_firing(features: DataFrame, rows: DataFrame, members: DataFrame, n: int = 20) -> DataFrame:
     """row_idx, feature, c_freq, r_freq, active_in, rank: the samples' firing members by chosen plus rejected, top n."""
-    f = features.where(F.col("side").isin(*RESPONSES)).join(F.broadcast(members.select("feature")), "feature", "left_semi").join(F.broadcast(rows.select("row_idx")), "row_idx", "left_semi")
+    f = features.where(F.col("side").isin(*RESPONSES)).join(F.broadcast(members.select("feature")), "feature", "left_semi").join(rows.select("row_idx"), "row_idx", "left_semi")
     one = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("freq"))), F.lit(0.0))
     g = f.groupBy("row_idx", "feature").agg(one("C").alias("c_freq"), one("R").alias("r_freq"))
     g = g.withColumn("active_in", F.when((F.col("c_freq") > 0) & (F.col("r_freq") > 0), "both").when(F.col("c_freq") > 0, "chosen").otherwise("rejected"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tessera.functions.stats import r6
 from tessera.operators import audit as A
 from tessera.plans import inputs as I
 from tessera.queries.common import BASE, R, registry
 from tessera.queries.views import RS, _scores, rounded
+from tessera.sources import storage
 
 QUERIES, SQL, query = registry()
 
@@ -49,6 +50,16 @@ def g35(spark, d):
     return rounded(A.global_disparity(I.features(spark, d), I.clusters(spark, d), I.examples(spark, d).where("row_idx % 2 = 0")), "u_bar")
 
 
+@query("g33_coverage_whole", SQL["g33_coverage"].replace(" AND row_idx < 30", ""))
+def g33_whole(spark, d):
+    return rounded(A.latent_coverage(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d).where("m = 3"), 0.5), "coverage")
+
+
+@query("g35_global_disparity_whole", SQL["g35_global_disparity"].replace(" AND row_idx % 2 = 0", "").replace(" WHERE row_idx % 2 = 0", ""))
+def g35_whole(spark, d):
+    return rounded(A.global_disparity(I.features(spark, d), I.clusters(spark, d), I.examples(spark, d)), "u_bar")
+
+
 _XY = "xy AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_retailprice + p_size * 3 END AS y FROM part)"
 
 
@@ -156,7 +167,7 @@ def o8(spark, d):
 
 @query("g42_permutation_p")
 def g42(spark, d):
-    xy = _xy(spark, d).where("y IS NOT NULL AND id < 100").select((F.row_number().over(Window.orderBy("id")) - 1).alias("id"), "x", "y")
+    xy = storage.number_rows(_xy(spark, d).where("y IS NOT NULL").withColumnRenamed("id", "part"), ["part"], "id").select("id", "x", "y")
     return A.permutation_p(xy, 200).crossJoin(A.bootstrap_ci(xy, 200)).crossJoin(A.negative_control(xy, 200))
 
 

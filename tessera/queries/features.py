@@ -24,13 +24,22 @@ def s4(spark, d):
     return S.lookup(I.base(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice"), 0, 100)
 
 
-@query("s5_json_round_trip", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders WHERE o_orderkey < 500")
-def s5(spark, d):
+def _json(spark, orders):
     path = storage.scratch(spark, "json")
-    I.base(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("title")).write.json(path)
+    orders.select(F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("title")).write.json(path)
     return spark.read.schema("example_id long, title string").json(path)
 
 
+@query("s5_json_round_trip", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders WHERE o_orderkey < 500")
+def s5(spark, d):
+    return _json(spark, I.base(spark, d, "orders").where("o_orderkey < 500"))
+
+
+@query("s5_json_round_trip_whole", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders")
+def s5_whole(spark, d):
+    return _json(spark, I.base(spark, d, "orders"))
+
+
 @query("s6_point_lookup", "SELECT o_orderkey AS row_idx FROM orders WHERE o_orderkey IN (7, (SELECT count(*) FROM orders) - 3) OR o_orderkey BETWEEN 20 AND 29")
 def s6(spark, d):
     o = I.examples(spark, d).select("row_idx")

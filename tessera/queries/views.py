@@ -210,6 +210,11 @@ def j9(spark, d):
     return rounded(E.member_firing(I.features(spark, d), I.examples(spark, d).where("row_idx < 500"), I.clusters(spark, d).where("m = 3")), "c_freq", "r_freq")
 
 
+@query("j9_member_firing_whole", SQL["j9_member_firing"].replace(" AND row_idx < 500", ""))
+def j9_whole(spark, d):
+    return rounded(E.member_firing(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d).where("m = 3")), "c_freq", "r_freq")
+
+
 @query("w4_top_examples", f"{BASE} SELECT row_idx, example_id, score FROM (SELECT row_idx, CAST(u_num AS DOUBLE) AS score FROM scores WHERE m = 2 ORDER BY u_num DESC, row_idx LIMIT 5) JOIN examples USING (row_idx) WHERE score > 0")
 def w4(spark, d):
     s = _scores(spark, d).where("m = 2").select("row_idx", F.col("u_num").cast("double").alias("score"))
