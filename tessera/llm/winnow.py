@@ -1,9 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame built-ins only.
 
-A text is lower-cased and cut into units: runs of up to four characters that aren't white space, so that units are in
-step again after each white space. Every run of K units has a hash, put together from the overlapping hashes of runs half
+A text is lower-cased and cut into units, each white-space token by itself: a token of up to LONG characters into runs of
+up to four, a longer one (unspaced scripts, addresses, encoded data, glued words) one character at a time. So units are in
+step again after each white space, and inside long tokens at any offset. Every run of K units has a hash, put together from the overlapping hashes of runs half
 as long. Of each W hashes in a row the smallest is chosen, of equal ones the rightmost; hash and position share one long,
-so a sliding minimum by doubling finds both at once. Texts that share W + K - 1 units in a row share a chosen hash.
+so a sliding minimum by doubling finds both at once. Texts that share W + K - 1 units in a row share a chosen hash. Inside tokens of over LONG characters
+in both texts that holds for any W + K - 1 shared characters; where a shared run begins or ends within a shorter token,
+or one text has the run in a shorter token than the other, up to LONG characters at that end may not count.
 
 Scale: all per row; a text's cost is in proportion to its length. With the next document (`with_next`) there is one
 exchange of the texts, by ranges of doc_id of equal counts: at most MAX_RANGES bounds are literals of the plan, and the
@@ -15,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K, W = 4, 8  # powers of two
+LONG = 16
 MAX_RANGES, RANGE_ROWS = 1 << 16, 512
 _LAST = (1 << 31) - 1
 
@@ -25,6 +29,14 @@ def _pairs(a: Column, step: int, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(step + 1), n), f)
 
 
+def _units(text: Column) -> Column:
+    """The units of a text, in order."""
+    short = lambda x: F.regexp_extract_all(x, F.lit(r"\S{1,4}"), F.lit(0))
+    each = lambda w: F.when(F.char_length(w) > LONG, F.regexp_extract_all(w, F.lit(r"\S"), F.lit(0))).otherwise(short(w))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), each))
+    return F.when(F.rlike(text, F.lit(rf"\S{{{LONG + 1}}}")), mixed).otherwise(short(text))
+
+
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with `name`: array of longs, each hash << 31 | (2**31 - 1 - position), in the order of position.
 
@@ -32,7 +44,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     hashes make one window. Equal texts have equal fingerprints.
     """
     t = f"__{name}"
-    units = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S{1,4}"), F.lit(0))
+    units = _units(F.lower(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn(f"{t}_n", F.size(units)).withColumn(t, F.transform(units, lambda u: F.xxhash64(u)))
     few = F.when(F.col(f"{t}_n") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col(t))))
     step = 1
