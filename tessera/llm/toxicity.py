@@ -28,16 +28,21 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tessera.llm.common import FILE, ROW, located, prepare
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+LONGEST = 64
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The words of a text; a longer run is cut into words of LONGEST characters that overlap by half and cover it."""
+    found = WORD.findall((text or "").lower())
+    if all(len(w) <= LONGEST for w in found):
+        return found
+    return [w[at : at + LONGEST] for w in found for at in range(0, max(len(w) - LONGEST // 2, 1), LONGEST // 2)]
 
 
 def subwords(some: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word the buckets of the word with its ends marked and of its character n-grams, one after another; and
     how many each word has."""
-    marked = [f"<{w[:64]}>" for w in some]
+    marked = [f"<{w}>" for w in some]
     size = np.array([len(m) for m in marked])
     char = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(some)), size)
@@ -220,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, **options) ->
 def score_toxicity(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """docs with a score in 0..1 (higher: toxic likelier).
 
-    Null, empty or wordless text: the score of a passage that says nothing. Very long texts are scored whole; a word longer
-    than 64 characters counts by its first 64. Every row gives a row, repeated ones too. Empty table: empty result. A
+    Null, empty or wordless text: the score of a passage that says nothing. Very long texts are scored whole, and a run longer
+    than 64 characters as overlapping words of up to 64. Every row gives a row, repeated ones too. Empty table: empty result. A
     column of the score's name is replaced.
     """
     spark = prepare(docs.sparkSession)
