@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,9 +47,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera_")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -82,23 +85,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The scratch tables of one call, by name, so that those no longer read can be deleted."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = scratch(self.spark, f"{self.label}-{name}")
+        return save(df, self.paths[name])
+
+    def remove(self, *names: str) -> None:
+        remove(self.spark, *(self.paths.pop(n) for n in names))
+
+
 #: A row's place in its file: names each row for good, even where doc_id is null or repeated.
 FILE, ROW = "_tessera_file", "_tessera_row"
 
 
-def located(docs: DataFrame, label: str, *columns: Column | str) -> DataFrame:
-    """The columns asked for (all by default) with FILE and ROW.
+def _one_row_each(docs: DataFrame) -> bool:
+    """Whether each row of docs is a row of a file, at most once: a scan with filters and projections that always agree."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
 
-    A frame that isn't read straight from files is written to the shared folder first.
+
+def located(docs: DataFrame, label: str, *columns: Column | str, names: tuple[str, str] = (FILE, ROW)) -> DataFrame:
+    """The columns asked for (all by default) with the row's file and its place in it, under `names`.
+
+    A frame of which a file's row could give several rows, or that isn't read from files, is written to the shared folder
+    first. Columns of docs that are named as the metadata column are left alone.
     """
     columns = columns or ("*",)
-    if FILE in docs.columns and ROW in docs.columns:
-        return docs.select(*columns, *([] if any(isinstance(c, str) and c == "*" for c in columns) else [FILE, ROW]))
-    place = F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)
-    try:
-        return docs.select(*columns, *place)
-    except AnalysisException:
-        return save(docs, scratch(docs.sparkSession, label)).select(*columns, *place)
+
+    def placed(df):
+        meta = df.metadataColumn("_metadata")
+        return df.select(*columns, meta.getField("file_path").alias(names[0]), meta.getField("row_index").alias(names[1]))
+
+    if _one_row_each(docs):
+        try:
+            return placed(docs)
+        except AnalysisException:  # no row numbers in files of this kind, or the column was projected away
+            pass
+    return placed(save(docs, scratch(docs.sparkSession, label)))
+
+
+def without(docs: DataFrame, label: str, gone) -> DataFrame:
+    """docs less the rows that `gone` returns, as it is: `gone` takes doc_id, text, FILE and ROW and returns some rows with
+    FILE and ROW."""
+    names = tuple(f"{n}_{uuid.uuid4().hex[:12]}" for n in (FILE, ROW))
+    rows = located(docs, label, names=names)
+    own = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col(names[0]).alias(FILE), F.col(names[1]).alias(ROW))
+    return rows.join(gone(own).select(F.col(FILE).alias(names[0]), F.col(ROW).alias(names[1])), list(names), "left_anti").drop(*names)
 
 
 def ascii_lower(text: Column) -> Column:

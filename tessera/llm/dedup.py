@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import FILE, ROW, ascii_lower, located, remove, save, scratch
+from tessera.llm.common import FILE, ROW, Tables, ascii_lower, located, remove, scratch, without
 
 #: State on disk, its memory bounded over all stores of an executor; commits write what changed and reserve no space ahead.
 STATE = {
@@ -60,19 +60,22 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, text: str = "text", doc_i
     the largest locator stays, so exactly one row of a group is kept. Empty table: empty result. Other columns of docs
     are ignored, whatever their names. `digest` may be replaced, a weak one too: hits are checked on the full bytes.
     """
+    return _exact(located(docs, "dedup-docs", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), digest)
+
+
+def _exact(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     spark = docs.sparkSession
-    docs = located(docs, "dedup-docs", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    log, ck = scratch(spark, "dedup-log"), scratch(spark, "dedup-state")
+    t, ck = Tables(spark, "dedup"), scratch(spark, "dedup-state")
     norm = ascii_lower(F.col("text"))
-    arrivals = save(docs.select(digest(norm).alias("digest"), "doc_id", FILE, ROW), log)
-    ingest(spark, log, arrivals.schema, ck)
-    state = save(read_state(spark, ck), scratch(spark, "dedup-keep"))
+    arrivals = t.save(docs.select(digest(norm).alias("digest"), "doc_id", FILE, ROW), "log")
+    ingest(spark, t.paths["log"], arrivals.schema, ck)
+    state = t.save(read_state(spark, ck), "keep")
     remove(spark, ck)
 
     hits = arrivals.join(state.where("group_size > 1").select("digest"), "digest").select(FILE, ROW, "digest")
     texts = docs.join(hits, [FILE, ROW]).select("digest", ascii_lower(F.col("text")).alias("norm"))
     differ = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest")
-    differ = save(differ, scratch(spark, "dedup-differ"))
+    differ = t.save(differ, "differ")
 
     sha = F.lower(F.hex("digest")) if digest is sha256_digest else F.lit(None).cast("string")
     one = lambda df: df.select("doc_id", "keep_id", "group_size", ((F.col(FILE) == F.col("keep_file")) & (F.col(ROW) == F.col("keep_row"))).alias("kept"), "text_sha256", FILE, ROW)
@@ -94,6 +97,4 @@ def _by_bytes(docs: DataFrame, arrivals: DataFrame, state: DataFrame, differ: Da
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay as they are."""
-    docs = located(docs, "dedup-in")
-    gone = exact_dedup(docs).where("NOT kept").select(FILE, ROW)
-    return docs.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
+    return without(docs, "dedup-in", lambda rows: _exact(rows).where("NOT kept"))
