@@ -1,8 +1,10 @@
 """Token-id files of independent zstandard frames with a trailing seek table.
 
 A file is a run of frames, one for each document (its ids as little-endian uint32), then a skippable frame with the
-documents' ids, then the seek table in the published seekable format: a skippable frame with, for each frame, its
-compressed size, its size and the low 32 bits of the XXH64 of its content. Any zstandard tool can read the file whole; a
+documents' ids and the XXH64 of all before it in that frame and of the seek table's entries, then the seek table in the
+published seekable format: a skippable frame with, for each frame, its compressed size, its size and the low 32 bits of the
+XXH64 of its content. So no changed byte gives a wrong document or id: a document's own checksum, that of the ids
+and entries, or parts that no longer meet tell of it (bits of a frame's head that mean nothing may change unnoticed). Any zstandard tool can read the file whole; a
 reader here takes the table from the end, then only the frames that it wants.
 
 Scale: one range exchange of the texts by doc_id; a task writes files of bounded size and holds one frame. A file gets
@@ -23,6 +25,7 @@ from tessera.llm.bpe import encoder
 from tessera.llm.common import prepare, save, scratch, store
 
 SKIPPABLE, DOC_IDS, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1  # fixed values of the zstandard formats
+EMPTY = 0x51D8E999  # the low 32 bits of the XXH64 of no bytes
 MAX_FRAMES = 1 << 16
 
 
@@ -47,10 +50,12 @@ class FrameWriter:
         self.size += len(frame)
 
     def close(self) -> None:
+        import xxhash
+
         ids = struct.pack("<I", len(self.ids)) + np.array([x or 0 for x in self.ids], "<i8").tobytes() + np.packbits([x is not None for x in self.ids]).tobytes()
-        self.out.write(struct.pack("<II", DOC_IDS, len(ids)) + ids)
-        self.entries.append((len(ids) + 8, 0, 0xEF46DB3751D8E999 & 0xFFFFFFFF))  # the XXH64 of no bytes
+        self.entries.append((len(ids) + 16, 0, EMPTY))
         table = b"".join(struct.pack("<III", *e) for e in self.entries)
+        self.out.write(struct.pack("<II", DOC_IDS, len(ids) + 8) + ids + struct.pack("<Q", xxhash.xxh64_intdigest(ids + table)))
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.entries), 0x80, SEEKABLE))
 
 
@@ -58,29 +63,33 @@ class FrameReader:
     """Reads single documents of a file: reader[i] is the i-th one's ids as bytes. `source` can seek and read."""
 
     def __init__(self, source):
+        import xxhash
         import zstandard
 
         self.source, self.zip = source, zstandard.ZstdDecompressor()
         end = source.seek(0, io.SEEK_END)
-        source.seek(end - 9)
-        n, flags, magic = struct.unpack("<IBI", source.read(9))
-        if magic != SEEKABLE or flags != 0x80:
+        source.seek(max(end - 9, 0))
+        tail = source.read(9)
+        n, flags, magic = struct.unpack("<IBI", tail) if len(tail) == 9 else (0, 0, 0)
+        at = end - 17 - 12 * n
+        if magic != SEEKABLE or flags != 0x80 or not n or at < 0:
             raise ValueError("no seek table with checksums at the end")
-        source.seek(end - 17 - 12 * n)
-        head = struct.unpack("<II", source.read(8))
-        if head != (SKIPPABLE, 12 * n + 9):
+        source.seek(at)
+        if struct.unpack("<II", source.read(8)) != (SKIPPABLE, 12 * n + 9):
             raise ValueError("the seek table is damaged")
-        table = np.frombuffer(source.read(12 * n), "<u4").reshape(n, 3).astype(np.int64)
-        self.starts = np.cumsum(table[:, 0]) - table[:, 0]
-        self.table = table[:-1]
+        raw = source.read(12 * n)
+        table = np.frombuffer(raw, "<u4").reshape(n, 3).astype(np.int64)
+        self.starts, self.table = np.cumsum(table[:, 0]) - table[:, 0], table[:-1]
+        if self.starts[-1] + table[-1, 0] != at or table[-1, 0] < 20:
+            raise ValueError("the frames don't reach to the seek table")
         source.seek(int(self.starts[-1]))
-        magic, size = struct.unpack("<II", source.read(8))
-        raw = source.read(size)
-        (count,) = struct.unpack("<I", raw[:4])
-        if magic != DOC_IDS or count != n - 1:
-            raise ValueError("the document ids are damaged")
-        known = np.unpackbits(np.frombuffer(raw[4 + 8 * count :], np.uint8), count=count)
-        self.ids = [int(x) if k else None for x, k in zip(np.frombuffer(raw[4 : 4 + 8 * count], "<i8"), known, strict=True)]
+        ids = source.read(int(table[-1, 0]))
+        head, ids, check = struct.unpack("<II", ids[:8]), ids[8:-8], struct.unpack("<Q", ids[-8:])[0]
+        if head != (DOC_IDS, len(ids) + 8) or xxhash.xxh64_intdigest(ids + raw) != check or struct.unpack("<I", ids[:4])[0] != n - 1:
+            raise ValueError("the document ids or the seek table are damaged")
+        count = n - 1
+        known = np.unpackbits(np.frombuffer(ids[4 + 8 * count :], np.uint8), count=count)
+        self.ids = [int(x) if k else None for x, k in zip(np.frombuffer(ids[4 : 4 + 8 * count], "<i8"), known, strict=True)]
 
     def __len__(self) -> int:
         return len(self.ids)
