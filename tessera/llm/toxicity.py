@@ -7,8 +7,8 @@ few words in a very long text still count; passages overlap by half and cover th
 
 Training takes a bounded sample of labelled rows (`max_rows`, a parameter): a fixed number of rows of each class in the
 order of a hash, so it doesn't depend on partitioning. It starts with passages from all over each text, then goes on
-with the worst passage of each one under the model so far. A part of the sample that trains nothing sets slope and
-prior of the final softmax. Scoring is linear before the softmax, so each distinct word has one number; workers remember
+with the worst passage of each one under the model so far; several starts are averaged. A quarter of the sample, of each
+class, that trains nothing sets slope and prior of the final softmax. Scoring is linear before the softmax, so each distinct word has one number; workers remember
 a bounded number of words.
 
 Scale: labels are cut to the sample before they meet the texts, the sample is broadcast (its rows are bounded), texts
@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import FILE, ROW, located, prepare
+from tessera.llm.common import FILE, ROW, prepare, without
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 LONGEST = 64
+SLICES = 16
 
 
 def words(text: str | None) -> list[str]:
@@ -59,6 +60,13 @@ def subwords(some: list[str], low: int, high: int, buckets: int) -> tuple[np.nda
     return (np.concatenate(found)[order] % np.uint64(buckets)).astype(np.int64), np.bincount(owner, minlength=len(some))
 
 
+def passage_starts(n: int, window: int) -> np.ndarray:
+    """The first words of the passages of n words: they overlap by half and cover all."""
+    if n <= window:
+        return np.zeros(1, np.int64)
+    return np.minimum(np.arange(0, n - window + window // 2, window // 2), n - window)
+
+
 @dataclass
 class Model:
     """`logit[b]`: what a subword of bucket b adds, embeddings and softmax multiplied out. `slope`, `bias`: of a text."""
@@ -85,8 +93,7 @@ class Model:
         """The mean of every passage, and its first word."""
         n, w = len(found), self.window
         total = np.concatenate([[0.0], np.cumsum(self.values(found))])
-        start = np.arange(0, max(n - w, 0) + w // 2, w // 2) if n > w else np.zeros(1, np.int64)
-        start = np.minimum(start, max(n - w, 0))
+        start = passage_starts(n, w)
         return (total[np.minimum(start + w, n)] - total[start]) / min(n, w), start
 
     def margin(self, text: str | None) -> float:
@@ -108,22 +115,51 @@ def _mean_matrix(index: np.ndarray, size: np.ndarray, w: np.ndarray):
     return (index, w, np.cumsum(size) - size), (row[order], w[order], starts, columns)
 
 
+class Corpus:
+    """Training texts as word numbers, the subwords of every word, and all passages, one after another."""
+
+    def __init__(self, bags: list[list[str]], window: int, low: int, high: int, buckets: int):
+        vocabulary: dict[str, int] = {}
+        self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in b], np.int64) for b in bags]
+        self.index, self.size = subwords(list(vocabulary), low, high, buckets)
+        self.first = np.cumsum(self.size) - self.size
+        n = np.array([len(b) for b in bags])
+        self.starts = [passage_starts(int(k), window) for k in n]
+        begin = np.repeat(np.cumsum(n) - n, [len(x) for x in self.starts]) + np.concatenate(self.starts)
+        length = np.repeat(np.minimum(n, window), [len(x) for x in self.starts])
+        self.flat, self.begin, self.length = np.concatenate(self.words), begin, length
+        self.ends = np.cumsum([len(x) for x in self.starts])
+
+    def passages(self, logit: np.ndarray) -> list[np.ndarray]:
+        """The mean of every passage, by text."""
+        word = np.add.reduceat(logit[self.index].astype(np.float64), self.first) / self.size
+        total = np.concatenate([[0.0], np.cumsum(word[self.flat])])
+        return np.split((total[self.begin + self.length] - total[self.begin]) / self.length, self.ends[:-1])
+
+    def subwords(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words named, one after another, and how many each has."""
+        size = self.size[some]
+        return self.index[np.repeat(self.first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
 class Trainer:
     """Embeddings, softmax and bias, trained together by full-batch Adam; may go on with other passages."""
 
-    def __init__(self, dim: int, buckets: int, low: int, high: int, rate: float, decay: float, seed: int):
+    def __init__(self, corpus: Corpus, dim: int, buckets: int, rate: float, decay: float, seed: int):
         rng = np.random.default_rng(seed)
-        self.low, self.high, self.rate, self.decay = low, high, rate, decay
+        self.corpus, self.rate, self.decay = corpus, rate, decay
         self.params = [rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
 
-    def fit(self, bags: list[list[str]], y: np.ndarray, epochs: int) -> None:
-        vocabulary = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
-        index, size = subwords(list(vocabulary), self.low, self.high, len(self.params[0]))
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int) -> None:
+        """bags: word numbers of passages, whose classes are y."""
+        met, word = np.unique(np.concatenate(bags), return_inverse=True)
+        index, size = self.corpus.subwords(met)
         used, index = np.unique(index, return_inverse=True)
         (si, sw, ss), (ti, tw, ts, tc) = _mean_matrix(index, size, np.repeat(1.0 / size, size))
-        rows = [np.unique([vocabulary[w] for w in b], return_counts=True) for b in bags]
-        n = np.array([len(u) for u, _ in rows])
-        (di, dw, dst), (ei, ew, es, ec) = _mean_matrix(np.concatenate([u for u, _ in rows]), n, np.concatenate([c / c.sum() for _, c in rows]))
+        n = np.array([len(b) for b in bags])
+        cell, count = np.unique(np.repeat(np.arange(len(bags)), n) * len(met) + word, return_counts=True)
+        row = cell // len(met)
+        (di, dw, dst), (ei, ew, es, ec) = _mean_matrix(cell % len(met), np.bincount(row, minlength=len(bags)), count / n[row])
         e, w, bias = self.params[0][used], *self.params[1:]
         weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)[:, None]
         one = np.eye(2, dtype=np.float32)[y]
@@ -147,15 +183,17 @@ class Trainer:
         self.params[0][used] = e
         self.seen = used if not hasattr(self, "seen") else np.union1d(self.seen, used)
 
-    def model(self, window: int) -> Model:
-        e, w, bias = self.params
-        logit = np.zeros(len(e), np.float32)  # buckets that training never met say nothing
-        logit[self.seen] = e[self.seen] @ (w[:, 1] - w[:, 0])
-        return Model(logit, 1.0, float(bias[1] - bias[0]), self.low, self.high, window)
+    def logit(self) -> np.ndarray:
+        e, w, _ = self.params
+        out = np.zeros(len(e), np.float32)  # buckets that training never met say nothing
+        out[self.seen] = e[self.seen] @ (w[:, 1] - w[:, 0])
+        return out
 
 
-def train(texts: list[str], labels: list[int], prior: float | None = None, window: int = 8, dim: int = 8, buckets: int = 1 << 18, low: int = 3, high: int = 5, epochs: int = 30, rounds: int = 4, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
-    """`prior`: the share of toxic rows among all labelled ones; that of `labels` by default."""
+def train(texts: list[str], labels: list[int], prior: float | None = None, window: int = 8, dim: int = 8, buckets: int = 1 << 18, low: int = 3, high: int = 5, epochs: int = 30, rounds: int = 4, starts: int = 2, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
+    """`prior`: the share of toxic rows among all labelled ones; that of `labels` by default. `starts`: embeddings and softmax
+    are trained that many times from other random values, and what they add to a text's margin is averaged: words that
+    training saw seldom get less by chance."""
     y, bags = np.array(labels, np.int64), [words(t) for t in texts]
     some = np.array([bool(b) for b in bags], bool)
     prior = float(np.mean(y)) if prior is None and len(y) else prior
@@ -164,25 +202,31 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
         return Model(np.zeros(buckets, np.float32), 1.0, float(np.log(p / (1 - p))), low, high, window)
     rng = np.random.default_rng(seed)
     y, bags = y[some], [b for b in bags if b]
-    apart = np.arange(len(y)) % 5 == 0
+    part = np.zeros(len(y), np.int64)
+    for c in (0, 1):  # each class dealt at random
+        part[rng.permutation(np.flatnonzero(y == c))] = np.arange((y == c).sum()) % 4
+    apart = part == 3
     if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
         apart[:] = False
     own = np.flatnonzero(~apart)
-    cut = lambda b, s: b[s : s + window]
-    trainer = Trainer(dim, buckets, low, high, rate, decay, seed)
-    first = [(cut(bags[i], int(s)), y[i]) for i in own for s in rng.integers(0, max(len(bags[i]) - window, 0) + 1, 2)]
-    trainer.fit([b for b, _ in first], np.array([t for _, t in first]), epochs)
-    for _ in range(rounds):
-        model, worst = trainer.model(window), []
-        for i in own:
-            value, start = model.passages(bags[i])
-            worst.append((cut(bags[i], int(start[value.argmax()])), y[i]))
-            if not y[i]:
-                worst.append((cut(bags[i], int(rng.choice(start))), 0))
-        trainer.fit([b for b, _ in worst], np.array([t for _, t in worst]), epochs)
-    model = trainer.model(window)
+    corpus = Corpus(bags, window, low, high, buckets)
+    cut = lambda i, s: corpus.words[i][s : s + window]
+    logit = np.zeros(buckets, np.float32)
+    for k in range(starts):
+        trainer = Trainer(corpus, dim, buckets, rate, decay, seed + k)
+        first = [(cut(i, int(s)), y[i]) for i in own for s in rng.integers(0, max(len(bags[i]) - window, 0) + 1, 2)]
+        trainer.fit([b for b, _ in first], np.array([t for _, t in first]), epochs)
+        for _ in range(rounds):
+            value, worst = corpus.passages(trainer.logit()), []
+            for i in own:
+                worst.append((cut(i, int(corpus.starts[i][value[i].argmax()])), y[i]))
+                if not y[i]:
+                    worst.append((cut(i, int(rng.choice(corpus.starts[i]))), 0))
+            trainer.fit([b for b, _ in worst], np.array([t for _, t in worst]), epochs)
+        logit += trainer.logit() / starts
+    model, value = Model(logit, 1.0, 0.0, low, high, window), corpus.passages(logit)
     check = np.flatnonzero(apart) if apart.any() else own
-    x, t = np.array([model.passages(bags[i])[0].max() for i in check]), y[check]
+    x, t = np.array([value[i].max() for i in check]), y[check]
     model.slope, model.bias = _slope(x, t, np.where(t == 1, prior / (t == 1).sum(), (1 - prior) / (t == 0).sum()))
     return model
 
@@ -201,14 +245,18 @@ def _slope(x: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(max(a, 1e-3) / scale), float(b - a * middle / scale)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, max_rows: int) -> tuple[list[str], list[int], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, max_rows: int, max_chars: int = 1 << 16) -> tuple[list[str], list[int], float]:
     """At most max_rows texts with labels.toxic, three tenths of them toxic where there are enough, from rows where `keep` holds;
-    and the share of toxic ones among all such rows."""
+    and the share of toxic ones among all such rows. A text of over max_chars trains by SLICES slices spread over all of it."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     some = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_rows * 3 // 10).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_rows - max_rows * 3 // 10))
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").orderBy(order, "doc_id", "toxic", "text").select("text", "toxic").collect()
+    n, each = F.char_length("text"), max_chars // SLICES
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring("text", F.floor((n - each) * i / (SLICES - 1)).cast("int") + 1, F.lit(each)))
+    text = F.when(n > max_chars, F.array_join(slices, " ")).otherwise(F.col("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", text.alias("text"))
+    got = texts.orderBy(order, "doc_id", "toxic", "text").limit(4 * max_rows).collect()  # repeated ids give several rows
     return [r["text"] or "" for r in got], [r["toxic"] for r in got], float(share)
 
 
@@ -246,6 +294,4 @@ def score_toxicity(docs: DataFrame, model: Model, score: str = "score") -> DataF
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """docs without the rows that score `cut` or more; all columns stay as they are."""
     model = fit(docs, labels)
-    place = located(docs, "toxic-in")
-    gone = score_toxicity(place.select(F.col("text").cast("string").alias("text"), FILE, ROW), model).where(F.col("score") >= cut).select(FILE, ROW)
-    return place.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
+    return without(docs, "toxic-in", lambda rows: score_toxicity(rows.select("text", FILE, ROW), model).where(F.col("score") >= cut))
