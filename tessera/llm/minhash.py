@@ -28,14 +28,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tessera.llm.common import FILE, ROW, located, prepare, save, scratch
+from tessera.llm.common import FILE, ROW, Tables, located, prepare, without
 
 MANTISSA = 10
 BUCKETS, BANDS, ROWS = 256, 64, 7
 SMALL = 16
 SEED = 20_240_229
+LIKE, MEMBERS = 0.5, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,15 +124,18 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of registers, less the collisions expected of unequal elements.
 
-    Two buckets with different smallest elements still agree if both have the same leading zeros and mantissa: for
-    about u elements a bucket the smallest falls in one of some 2**10 cells an octave, so unequal ones agree with a
-    chance of about `c` below; matches m of k used buckets give (m / k - c) / (1 - c).
+    With u and v elements a bucket, the smallest hashes (as numbers in 0..1) have densities u exp(-u x) and v exp(-v x).
+    Octave j, from 2**-j to 2**(1-j), has 2**MANTISSA cells of width 2**-(j + MANTISSA), so unequal ones fall in one cell
+    with the chance sum over j of width * u v / (u + v) * (exp(-(u+v) 2**-j) - exp(-(u+v) 2**(1-j))), here among the
+    buckets that either set uses; matches m of k used buckets give (m / k - c) / (1 - c).
     """
     used = (a != 0) | (b != 0)
     k = np.maximum(used.sum(axis=1), 1)
     match = ((a == b) & used).sum(axis=1) / k
-    load = np.maximum(np.minimum(na, nb) / a.shape[1], 1e-9)
-    c = np.minimum(1, load) * 0.7 / (1 << MANTISSA)
+    u, v = (np.maximum(np.asarray(n, np.float64), 1e-9) / a.shape[1] for n in (na, nb))
+    edge = 2.0 ** -np.arange(0, 65 - a.shape[1].bit_length())
+    lost = np.exp(-(u + v)[:, None] * edge[None, :])
+    c = (u * v / (u + v)) * ((lost[:, 1:] - lost[:, :-1]) * edge[1:] / (1 << MANTISSA)).sum(axis=1) / -np.expm1(-(u + v))
     return np.clip((match - c) / (1 - c), 0, 1)
 
 
@@ -147,11 +151,17 @@ def exact_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return mix(shingles[: n - -(-percent * n // 100) + 1] + np.uint64(SEED)).view(np.int64)
 
 
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(*x) for x in fields.items()])
+
+
+LONG = T.LongType()
+
+
 def sketch_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, FILE, ROW, n (set size), d1, d2 (128-bit digest of the set), regs (binary), small (exact_keys, binary)."""
-    fields = [("n", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("regs", T.BinaryType()), ("small", T.BinaryType())]
-    docs = docs.select("doc_id", FILE, ROW, F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*docs.schema.fields[:3], *(T.StructField(*x) for x in fields)])
+    docs = docs.select("doc_id", FILE, ROW, "text")
+    schema = T.StructType([*docs.schema.fields[:3], *_schema(n=LONG, d1=LONG, d2=LONG, regs=T.BinaryType(), small=T.BinaryType())])
 
     def run(batches):
         import xxhash
@@ -172,7 +182,7 @@ def sketch_documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def band_rows(reps: DataFrame) -> DataFrame:
     """bucket, rep: one row a band of each representative, and one an exact key of small sets."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("rep", T.LongType())])
+    schema = _schema(bucket=LONG, rep=LONG)
 
     def run(batches):
         for b in batches:
@@ -189,10 +199,11 @@ def band_rows(reps: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose estimate isn't far below the threshold (six standard deviations of the registers used)."""
+    """Pairs (a, b) with `likely`: the estimate isn't far below the threshold (six standard deviations of the registers
+    used) and the sizes allow it."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = _schema(a=LONG, b=LONG, likely=T.BooleanType())
 
     def run(batches):
         for b in batches:
@@ -203,146 +214,181 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             used = np.maximum(((ra != 0) | (rb != 0)).sum(axis=1), 1)
             cut = threshold - 6 * np.sqrt(threshold * (1 - threshold) / used)
             ok = (estimate(ra, rb, na, nb) >= cut) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=schema.names)
 
     return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def hub_stars(t: Tables, live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once: in every bucket all documents but the hub are paired with the hub.
+
+    A bucket's hub is first the document that meets most others over all its bands. Every document looks up to the best
+    hub that it shares a bucket with, and a bucket's hub gives way to the one it looks up to while the estimate says that
+    they resemble each other (at least LIKE), up to four times. So a family has one hub or a few, not one a bucket, and
+    all documents of a bucket still have one hub in common.
+    """
+    degree = live.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("degree"))
+    first = t.save(live.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("m"))).alias("h")).select("bucket", "h.degree", (-F.col("h.m")).alias("hub")), "hubs")
+    up = live.join(first, "bucket").groupBy("rep").agg(F.max(F.struct("degree", (-F.col("hub")).alias("m"))).alias("h")).select("rep", (-F.col("h.m")).alias("up"))
+    hubs = first.select("hub").distinct()
+    steps = hubs.join(up, F.col("hub") == F.col("rep")).where("hub != up").select(F.col("hub").alias("a"), F.col("up").alias("b"))
+    lift = t.save(estimated(steps, reps, LIKE).where("likely").select(F.col("a").alias("hub"), F.col("b").alias("to")), "lift")
+    for i in (1, 2):
+        again = lift.toDF("mid", "far")
+        lift = t.save(lift.join(again, F.col("to") == F.col("mid"), "left").select("hub", F.coalesce("far", "to").alias("to")), f"lift-{i}")
+    last = first.join(lift, "hub", "left").select("bucket", F.coalesce("to", "hub").alias("a"))
+    return live.select("bucket", "rep").join(last, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+
+
+def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """How each b differs from its hub a, on full sets: a, b, n (b's size), diff (the shingles that only one of them has)
+    and link (100 * intersection >= percent * union).
+
+    A hub's text moves once for each MEMBERS of its pairs: members are dealt by hub and part, and the hub's row comes first.
+    """
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    hubs = size.join(texts, F.col("a") == F.col("rep")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"), F.lit(None).cast("long").alias("b"), "text")
+    members = pairs.select("a", "b").join(size, "a").join(texts, F.col("b") == F.col("rep")).select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("deal"), "b", "text")
+    rows = hubs.unionByName(members).repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
+    schema = _schema(a=LONG, b=LONG, n=LONG, diff=T.ArrayType(LONG), link=T.BooleanType())
 
     def run(batches):
-        last, hub = None, None
+        hub = None
         for batch in batches:
-            ok = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if a != last or hub is None:
-                    last, hub = a, shingle_set(ta, width)
-                other = shingle_set(tb, width)
-                both_n = len(np.intersect1d(hub, other, assume_unique=True))
-                ok.append(100 * both_n >= percent * (len(hub) + len(other) - both_n))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=schema.names)
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, schema)
-
-
-def components(spark: SparkSession, links: DataFrame, label: str) -> DataFrame:
-    """node, root for every node of the links: root is the smallest node reachable.
-
-    Rounds of: each node takes the smallest label among itself and its neighbours, then the label of its label. A round
-    is cut by a written table; the number of rounds follows the logarithm of the longest chain.
+            out = []
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                s = shingle_set(text, width)
+                if b is None:
+                    hub = s
+                    continue
+                diff = np.setxor1d(hub, s, assume_unique=True)
+                out.append((a, b, len(s), diff.view(np.int64), 100 * (len(hub) + len(s) - len(diff)) >= percent * (len(hub) + len(s) + len(diff))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=schema.names)
+
+    return rows.select("a", "b", "text").mapInArrow(run, schema)
+
+
+def components(t: Tables, links: DataFrame, label: str) -> DataFrame:
+    """node, root for every node of the links (a, b): root is the smallest node reachable.
+
+    Rounds of: each node moves to the smallest of itself and its neighbours, then to where that one moves; links between
+    nodes that have met go, the others are carried over to where their ends went. At least every second node of a
+    component goes in a round, and a round is cut by written tables.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = save(both, scratch(spark, f"{label}-edges"))
-    now = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), scratch(spark, f"{label}-0"))
-    for i in range(1, 60):
-        seen = both.join(now.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = now.join(seen, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "r").alias("root"))
-        jump = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        nxt = save(step.join(jump, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root"), "was"), scratch(spark, f"{label}-{i}"))
-        now = nxt.select("node", "root")
-        if nxt.where("root != was").isEmpty():
-            return now
-    raise RuntimeError("the components did not settle in 60 rounds")
-
-
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, FILE, ROW (the locator).
-
-    Words are runs of anything but ASCII white space, A-Z in lower case. Documents are linked when 100 * intersection >=
-    percent * union of their shingle sets; component_id is the smallest doc_id reachable. Fewer words than `width`: the
-    whole sequence is one shingle. Null or empty text, or no word: an empty set, linked with nothing, kept. Null doc_id:
-    it takes part in no link, has a null component_id and is kept. Rows that repeat a doc_id share its component; of
-    those with the smallest doc_id only the first row by locator is kept. Empty table: empty result. Other columns are
-    ignored.
+    ends = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a != b").distinct()
+    edges, root = t.save(ends(links, "a", "b"), f"{label}-edges"), None
+    for i in range(64):
+        if root is not None and edges.isEmpty():
+            return root
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+        one = t.save(near.select(F.col("a").alias("node"), F.least("a", "b").alias("to")), f"{label}-near-{i}")
+        move = t.save(one.join(one.toDF("mid", "far"), F.col("to") == F.col("mid")).select("node", F.col("far").alias("to")), f"{label}-move-{i}")
+        edges = t.save(ends(edges.join(move.toDF("a", "x"), "a").join(move.toDF("b", "y"), "b"), "x", "y"), f"{label}-edges-{i}")
+        if root is None:
+            root = move.toDF("node", "root")
+        else:
+            root = t.save(root.join(move.toDF("mid", "far"), F.col("root") == F.col("mid"), "left").select("node", F.coalesce("far", "root").alias("root")), f"{label}-root-{i}")
+    raise RuntimeError("the components did not settle in 64 rounds")
+
+
+def _across(t: Tables, seen: DataFrame, percent: int) -> DataFrame:
+    """Links between components: pairs of members of one hub's family with different roots, by those roots.
+
+    With D(x) the shingles that x and the hub don't share, x and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so they
+    are linked if and only if 2 (100 + p) |D(x) & D(y)| >= e(x) + e(y), where e(x) = (100 + p) |D(x)| - (100 - p) |x|.
+    The hub has the smallest e, so members it isn't linked with need a common shingle in D for any link. How many x needs
+    at least (`need`) follows from the smallest e of a member with another root, and from the largest partner's size;
+    then |D(x)| - need + 1 of them, the rarest in the family, can't all be missed (prefix filter), and of the common ones
+    those that x or y doesn't offer are the last, max(need(x), need(y)) - 1 at most.
     """
-    spark = prepare(docs.sparkSession)
-    docs = located(docs, "near-docs", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_docs = save(sketch_documents(docs, width, percent), scratch(spark, "near-sketch"))
+    p, q = F.lit(100 + percent), F.lit(100 - percent)
+    dn, e = F.size("diff").cast("long"), p * F.size("diff") - q * F.col("n")
+    seen = t.save(seen.withColumn("e", e).withColumn("dn", dn), "family")
+    least = seen.groupBy("a").agg(F.min("e").alias("e_all"), F.min(F.when(F.col("root") != F.col("hub_root"), F.col("e"))).alias("e_far"), F.max("n").alias("n_most"))
+    other = F.when(F.col("root") == F.col("hub_root"), F.col("e_far")).otherwise(F.col("e_all"))
+    partner = F.least(F.floor(F.lit(100) * F.col("n") / F.lit(percent)), F.col("n_most"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + other) / (2 * p)), F.ceil((p * F.col("dn") - q * (F.col("n") + partner)) / p))
+    each = seen.join(least, "a").withColumn("need", need).where("need <= dn").select("a", "b", "n", "root", "e", "dn", "need", F.explode("diff").alias("key"))
+    common = each.groupBy("a", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    each = each.join(common, ["a", "key"], "left").withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("c", F.lit(1)), "key")))
+    each = t.save(each.where("r <= dn - need + 1 AND c > 1").select("a", "b", "n", "root", "e", "dn", "need", "key"), "offers")
+    again = each.toDF("a", "b2", "n2", "root2", "e2", "dn2", "need2", "key")
+    fits = (F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")) & (2 * p * F.least("dn", "dn2") >= F.col("e") + F.col("e2"))
+    lacks = F.ceil((F.col("e") + F.col("e2")) / (2 * p)) - F.greatest("need", "need2") + 1  # of the common ones at least so many are offered by both
+    met = each.join(again, ["a", "key"]).where((F.col("root") < F.col("root2")) & fits).groupBy("a", "b", "b2").agg(F.count(F.lit(1)).alias("c"), F.max(lacks).alias("lacks")).where("c >= lacks")
+    pairs = t.save(met.groupBy("b", "b2").agg(F.min("a").alias("a")), "across")
+    both = pairs.join(seen.select("a", "b", "diff", "e", "root"), ["a", "b"]).join(seen.select("a", F.col("b").alias("b2"), F.col("diff").alias("diff2"), F.col("e").alias("e2"), F.col("root").alias("root2")), ["a", "b2"])
+    return both.where(2 * p * F.size(F.array_intersect("diff", "diff2")) >= F.col("e") + F.col("e2")).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct()
+
+
+def _near(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_dedup of a located frame; also `first`: the one row that stays of a group (all rows without a shingle or id)."""
+    spark = docs.sparkSession
+    t = Tables(spark, "near")
+    all_docs = t.save(sketch_documents(docs, width, percent), "sketch")
     some = all_docs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = save(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), scratch(spark, "near-classes"))
-    ids = classes.select("rep").distinct()
-    reps = some.join(ids, some["doc_id"] == ids["rep"]).select("rep", "n", "d1", "d2", "regs", "small", FILE, ROW).dropDuplicates(["rep"])
-    reps = save(reps, scratch(spark, "near-reps"))
+    same = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", FILE, ROW)).alias("place"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("small").alias("small"))
+    reps = t.save(same.withColumn("rep", F.monotonically_increasing_id()), "reps")  # written, so the number stays
 
     rows = band_rows(reps)
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    live = save(rows.join(counts, "bucket"), scratch(spark, "near-live"))
-    degree = live.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("degree"))
-    hubs = live.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("m"))).alias("h")).select("bucket", (-F.col("h.m")).alias("a"))
-    stars = save(live.join(hubs, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), scratch(spark, "near-stars"))
+    live = t.save(rows.join(counts, "bucket"), "live")
+    stars = t.save(estimated(t.save(hub_stars(t, live, reps), "stars"), reps, percent / 100), "likely")
+    t.remove("live", "hubs", "stars")
+    ids = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
+    where = ids.join(reps.select("rep", F.col(f"place.{FILE}").alias(FILE), F.col(f"place.{ROW}").alias(ROW)), "rep")
+    texts = t.save(docs.select(FILE, ROW, "text").join(where, [FILE, ROW]).select("rep", "text"), "texts")
+    checked = t.save(differences(stars.where("likely"), texts, width, percent), "checked")
+
+    links = checked.where("link").select("a", "b").unionByName(_repeated_ids(some, reps))
+    comp = components(t, links, "cc")
+    named = lambda df, c: df.join(comp.toDF(c, f"root_{c}"), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    family = named(named(stars, "a"), "b")
+    mixed = family.groupBy("a").agg(F.count_if(F.col("root_a") != F.col("root_b")).alias("other")).where("other > 0").select("a")
+    family = t.save(family.join(mixed, "a").select("a", "b", "likely", F.col("root_a").alias("hub_root"), F.col("root_b").alias("root")), "mixed")
+    more = t.save(differences(family.where("NOT likely"), texts, width, percent), "unlike")
+    seen = checked.unionByName(more).join(family.drop("likely"), ["a", "b"])
+    extra = t.save(_across(t, seen, percent), "extra")
+    if not extra.isEmpty():
+        roots = components(t, extra, "cc2").toDF("mid", "top")
+        comp = comp.join(roots, F.col("root") == F.col("mid"), "full").select(F.coalesce("node", "mid").alias("node"), F.coalesce("top", "root").alias("root"))
+
+    comp = comp.join(reps.select("rep", "place"), F.col("node") == F.col("rep")).select("node", "root", "place")
+    least = comp.groupBy("root").agg(F.min("place").alias("stays"))
+    comp = comp.join(least, "root").select("node", "stays")
+    named = t.save(reps.select("rep", "d1", "d2", "place").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("stays", "place").alias("stays")), "named")
+    t.remove(*(x for x in t.paths if x not in ("sketch", "named")))
+    own = all_docs.select("doc_id", FILE, ROW, "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")))
+    root, kept = F.col("stays.doc_id"), F.col("doc_id") == F.col("stays.doc_id")
+    first = kept & (F.col(FILE) == F.col(f"stays.{FILE}")) & (F.col(ROW) == F.col(f"stays.{ROW}"))
+    known = own.where("d1 IS NOT NULL").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), kept.alias("kept"), FILE, ROW, first.alias("first"))
+    alone = own.where("d1 IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), FILE, ROW, F.lit(True).alias("first"))
+    return known.unionByName(alone)
 
-    links, texts = _check(spark, docs, reps, stars, width, percent, "near-star")
-    comp = components(spark, links, "near-cc")
-    across = save(_across(spark, docs, reps, stars, comp, width, percent), scratch(spark, "near-across"))
-    more, _ = _check(spark, docs, reps, across, width, percent, "near-rest")
-    if not more.isEmpty():
-        comp = components(spark, links.unionByName(more), "near-cc2")
 
-    named = classes.join(comp, classes["rep"] == comp["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    own = all_docs.select("doc_id", FILE, ROW, "n", *(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col(d)).alias(d) for d in ("d1", "d2")))
-    known = own.where("d1 IS NOT NULL").join(named, ["d1", "d2"]).select("doc_id", FILE, ROW, "n", "root")
-    alone = own.where("d1 IS NULL").select("doc_id", FILE, ROW, "n", F.col("doc_id").alias("root"))
-    return known.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"), FILE, ROW)
+def _repeated_ids(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that have a doc_id in common: one id with different texts is one document."""
+    twice = some.groupBy("doc_id").agg(*(f(d).alias(f"{f.__name__}_{d}") for d in ("d1", "d2") for f in (F.min, F.max))).where("min_d1 != max_d1 OR min_d2 != max_d2").select("doc_id")
+    own = some.join(twice, "doc_id").select("doc_id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a != b")
 
 
-def _across(spark: SparkSession, docs: DataFrame, reps: DataFrame, stars: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one hub's family that lie in different components and could be linked."""
-    named = lambda df, c: df.join(comp.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    family = named(named(stars, "a"), "b")
-    mixed = family.groupBy("a").agg(F.count_if(F.col("root_a") != F.col("root_b")).alias("other")).where("other > 0").select("a")
-    family = save(family.join(mixed, "a"), scratch(spark, "near-family"))
-    ids = family.select(F.col("a").alias("rep")).union(family.select(F.col("b").alias("rep"))).distinct()
-    texts = save(docs.join(ids.join(reps.select("rep", FILE, ROW), "rep"), [FILE, ROW]).select("rep", "text"), scratch(spark, "near-family-texts"))
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    fields = [("a", T.LongType()), ("b", T.LongType()), ("n", T.LongType()), ("inside", T.LongType()), ("outside", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField(*x) for x in fields])
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, FILE, ROW (the locator), first.
 
-    def run(batches):
-        last, hub = None, None
-        for batch in batches:
-            n, inside, outside = [], [], []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if a != last or hub is None:
-                    last, hub = a, shingle_set(ta, width)
-                own = shingle_set(tb, width)
-                out = np.setdiff1d(own, hub, assume_unique=True)
-                n.append(len(own))
-                inside.append(len(own) - len(out))
-                outside.append(out.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], names=schema.names)
-
-    seen = family.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, schema)
-    seen = save(seen.join(family.select("a", "b", "root_a", "root_b"), ["a", "b"]), scratch(spark, "near-overlaps"))
-    need = F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) - F.col("inside")
-    offers = seen.select("a", "b", "n", F.col("root_b").alias("root"), (F.size("outside") - F.greatest(F.lit(1), need) + 1).alias("most"), F.explode("outside").alias("key"))
-    common = offers.groupBy("a", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    offers = offers.join(common, ["a", "key"], "left").withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("c", F.lit(1)), "key")))
-    offers = save(offers.where("r <= most AND c > 1").select("a", "b", "n", "root", "key"), scratch(spark, "near-offers"))
-    small = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
-    again = offers.toDF("a", "b2", "n2", "root2", "key")
-    met = offers.join(again, ["a", "key"]).where((F.col("root") < F.col("root2")) & small).select("b", "b2").distinct()
-    near = seen.where(need <= 0).select("a", "b", "n", "inside", F.col("root_b").alias("root"), (F.col("root_a") != F.col("root_b")).alias("apart"))
-    far = near.where("apart").drop("apart")
-    alone = far.join(near.drop("apart").toDF("a", "b2", "n2", "inside2", "root2"), "a").where((F.col("root") != F.col("root2")) & (F.lit(100 + percent) * F.least("inside", "inside2") >= F.lit(percent) * (F.col("n") + F.col("n2"))) & small)
-    pairs = met.unionByName(alone.select("b", "b2"))
-    return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
-
-
-def _check(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs that are links; and the candidates' texts."""
-    likely = save(estimated(pairs, reps, percent / 100), scratch(spark, f"{label}-likely"))
-    ids = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
-    where = ids.join(reps.select("rep", FILE, ROW), "rep")
-    texts = save(docs.join(where, [FILE, ROW]).select("rep", "text"), scratch(spark, f"{label}-texts"))
-    return save(verified(likely, texts, width, percent), scratch(spark, f"{label}-links")), texts
+    Words are runs of anything but ASCII white space, A-Z in lower case. Documents are linked when 100 * intersection >=
+    percent * union of their shingle sets; component_id is the smallest doc_id reachable and kept says that it is the
+    row's own. Fewer words than `width`: the whole sequence is one shingle. Null or empty text, or no word: an empty set,
+    linked with nothing, kept. Null doc_id: it takes part in no link, has a null component_id and is kept. Rows that
+    repeat a doc_id are one document, whatever their texts, each with the links of its own text; `first` marks one row of
+    a group. Empty table: empty result. Other columns are ignored, whatever their names.
+    """
+    prepare(docs.sparkSession)
+    return _near(located(docs, "near-docs", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, percent)
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates; all columns stay as they are."""
-    docs = located(docs, "near-in")
-    gone = near_dedup(docs, width, percent).where("NOT kept").select(FILE, ROW)
-    return docs.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
+    """docs with one row of each group of near-duplicates; all columns stay as they are."""
+    prepare(docs.sparkSession)
+    return without(docs, "near-in", lambda rows: _near(rows.withColumn("doc_id", F.col("doc_id").cast("long")), width, percent).where("NOT first"))

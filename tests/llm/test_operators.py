@@ -105,6 +105,72 @@ def test_near_dedup_hard(hard, empty):
     assert near_dedup(empty).count() == 0
 
 
+def test_repeated_ids_lose_no_link(spark):
+    from tessera.llm.minhash import keep_first, near_dedup
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(5, x), (5, y), (9, x + " tail"), (10, y + " tail"), (3, z), (3, x + " more"), (20, z + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup(df, 2).collect()} == {(5, 3), (9, 3), (10, 3), (3, 3), (20, 3)}
+    left = keep_first(df, 2).collect()
+    assert len(left) == 1 and left[0]["doc_id"] == 3
+
+
+def test_rows_of_derived_frames_are_told_apart(spark, tmp_path):
+    from tessera.llm.dedup import exact_dedup, keep_one
+    from tessera.llm.minhash import keep_first
+
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame([(1, "one two three four"), (2, "five six seven"), (3, "One two three four")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for six in (docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), docs.unionByName(docs)):
+        assert exact_dedup(six).where("kept").count() == 2 and keep_one(six).count() == 2 and keep_first(six, 2).count() == 2
+        assert keep_one(six).columns == six.columns
+
+
+def test_clashing_names(spark, tmp_path):
+    from tessera.llm.dedup import keep_one
+    from tessera.llm.minhash import keep_first
+    from tessera.llm.sharding import shard_rows
+    from tessera.llm.toxicity import drop_toxic
+
+    rows = [(1, "one two three four", "f", 0, "m"), (2, "five six seven", "f", 0, "m"), (3, "One two three four", "f", 0, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _tessera_file string, _tessera_row long, _metadata string")
+    path = f"file://{tmp_path}/clash"
+    df.write.parquet(path)
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    for c in (["_tessera_file", "_tessera_row", "_metadata"], ["_metadata"], ["_tessera_row"]):
+        for frame in (df, spark.read.parquet(path)):
+            frame = frame.select("doc_id", "text", *c)
+            for left, n in ((keep_one(frame), 2), (keep_first(frame, 2), 2), (drop_toxic(frame, labels), 3), (shard_rows(frame, 2).drop("_shard", "_slot"), 3)):
+                assert left.columns == frame.columns and left.count() == n
+                assert all(r[x] == rows[0][{"_tessera_file": 2, "_tessera_row": 3, "_metadata": 4}[x]] for r in left.collect() for x in c)
+
+
+def test_near_copies_of_one_large_family(spark):
+    from tessera.llm.minhash import near_dedup
+
+    rng = np.random.default_rng(12)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(900):  # indices of pairs around 0.7 to 0.85
+        text = list(base)
+        for k in rng.choice(120, int(rng.integers(2, 13)), replace=False):
+            text[k] = f"e{rng.integers(0, 60)}"
+        rows.append((i, " ".join(text)))
+    sets = [_shingles(t, 2) for _, t in rows]
+    names = {s: k for k, s in enumerate({x for t in sets for x in t})}
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for i, t in enumerate(sets):
+        m[i, [names[x] for x in t]] = 1
+    both = m @ m.T
+    linked = 100 * both >= 80 * (m.sum(1)[:, None] + m.sum(1)[None] - both)
+    label = np.arange(len(sets))
+    for _ in range(200):
+        label = np.array([label[row].min() for row in linked])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert [got[i] for i in range(len(sets))] == label.tolist() and len({*got.values()}) > 5
+
+
 def test_hyperminhash_estimates():
     from tessera.llm import minhash as M
 
@@ -249,6 +315,22 @@ def test_frames_are_checked():
     bad[-20] ^= 1
     with pytest.raises(Exception):
         FrameReader(io.BytesIO(bytes(bad)))[2]
+    noticed = 0
+    for at in range(len(bad)):  # any byte changed: an error, or the right documents (bits of a frame's head that mean nothing)
+        for bit in (1, 16, 128):
+            bad = bytearray(out.getvalue())
+            bad[at] ^= bit
+            try:
+                r = FrameReader(io.BytesIO(bytes(bad)))
+                got = list(zip(r.ids, [r[i] for i in range(len(r))], strict=True))
+            except Exception:
+                noticed += 1
+            else:
+                assert got == [(0, b"abcd" * 50), (None, b""), (2, b"wxyz")]
+    assert noticed > 0.9 * 3 * len(bad)
+    for short in (0, 5, 9, 20, len(bad) - 1):
+        with pytest.raises(Exception):
+            FrameReader(io.BytesIO(out.getvalue()[:short]))
 
 
 def test_sharding(spark, hard, empty):
@@ -270,6 +352,39 @@ def test_sharding(spark, hard, empty):
     assert abs(np.mean(spread) - 5) < 0.1 and abs(np.var(spread) - 10 * 0.25 * 10 / 19) < 0.15  # the hypergeometric law
 
 
+def test_large_urns(monkeypatch):
+    from tessera.llm import sharding as S
+
+    monkeypatch.setattr(S, "URN", 0)  # every draw goes the way of large urns
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((30, 50, 20), (30, 50, 70), (5, 400, 60), (3, 2, 4)):
+        got, want = ([f(good, bad, n) for _ in range(20_000)] for f in (lambda *x: S.hypergeometric(rng, *x), rng.hypergeometric))
+        a, b = (np.bincount(x, minlength=good + 1) / 20_000 for x in (got, want))
+        assert np.abs(a - b).max() < 0.02
+    monkeypatch.undo()
+    good, bad, n = 4 * 10**10, 6 * 10**10, 10**9
+    z = [(S.hypergeometric(rng, good, bad, n) - 0.4 * n) / (n * 0.4 * 0.6 * (1 - n / (good + bad))) ** 0.5 for _ in range(2000)]
+    assert abs(np.mean(z)) < 0.1 and abs(np.std(z) - 1) < 0.07
+    counts = rng.integers(900_000, 1_100_000, 20_000).tolist()
+    m = S.communication_matrix(counts, 40, 3)
+    assert m.sum(axis=1).tolist() == counts and np.ptp(m.sum(axis=0)) <= 1 and m.min() >= 0
+
+
+def test_shards_do_not_depend_on_the_scan(spark, tmp_path):
+    from tessera.llm.sharding import shard_rows
+
+    path = f"file://{tmp_path}/in"
+    spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("text")).repartition(3).write.option("parquet.block.size", "4096").parquet(path)
+    got = []
+    for size in ("134217728", "8192"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got.append({tuple(r) for r in shard_rows(spark.read.parquet(path), 7).select("doc_id", "_shard", "_slot").collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == got[1] and len(got[0]) == 5000
+    some = shard_rows(spark.read.parquet(path).where("doc_id % 3 = 0"), 7).collect()
+    assert len({r["doc_id"] for r in some}) == 1667 and len({(r["_shard"], r["_slot"]) for r in some}) == 1667
+
+
 def test_winnowing(spark, hard, empty):
     from tessera.llm import winnow as W
     from tests.llm.conftest import HARD
