@@ -118,21 +118,27 @@ def _mean_matrix(index: np.ndarray, size: np.ndarray, w: np.ndarray):
 class Corpus:
     """Training texts as word numbers, the subwords of every word, and all passages, one after another."""
 
-    def __init__(self, bags: list[list[str]], window: int, low: int, high: int, buckets: int):
-        vocabulary: dict[str, int] = {}
-        self.words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in b], np.int64) for b in bags]
-        self.index, self.size = subwords(list(vocabulary), low, high, buckets)
+    def __init__(self, texts: list[str], low: int, high: int, buckets: int):
+        self.vocabulary: dict[str, int] = {}
+        self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], np.int32) for t in texts]
+        names, self.vocabulary = list(self.vocabulary), {}
+        got = [[x.astype(np.int32) for x in subwords(names[at : at + 10_000], low, high, buckets)] for at in range(0, len(names), 10_000)]
+        self.index, self.size = (np.concatenate([x[k] for x in got] or [np.zeros(0, np.int32)]) for k in (0, 1))
         self.first = np.cumsum(self.size) - self.size
-        n = np.array([len(b) for b in bags])
+
+    def cut(self, some: np.ndarray, window: int) -> None:
+        """Keep some of the texts, none without words, and lay out their passages."""
+        self.words = [self.words[i] for i in some]
+        n = np.array([len(b) for b in self.words])
         self.starts = [passage_starts(int(k), window) for k in n]
-        begin = np.repeat(np.cumsum(n) - n, [len(x) for x in self.starts]) + np.concatenate(self.starts)
-        length = np.repeat(np.minimum(n, window), [len(x) for x in self.starts])
-        self.flat, self.begin, self.length = np.concatenate(self.words), begin, length
-        self.ends = np.cumsum([len(x) for x in self.starts])
+        each = [len(x) for x in self.starts]
+        self.begin = np.repeat(np.cumsum(n) - n, each) + np.concatenate(self.starts)
+        self.length = np.repeat(np.minimum(n, window), each)
+        self.flat, self.ends = np.concatenate(self.words), np.cumsum(each)
 
     def passages(self, logit: np.ndarray) -> list[np.ndarray]:
         """The mean of every passage, by text."""
-        word = np.add.reduceat(logit[self.index].astype(np.float64), self.first) / self.size
+        word = np.add.reduceat(logit[self.index], self.first, dtype=np.float64) / self.size
         total = np.concatenate([[0.0], np.cumsum(word[self.flat])])
         return np.split((total[self.begin + self.length] - total[self.begin]) / self.length, self.ends[:-1])
 
@@ -194,14 +200,15 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
     """`prior`: the share of toxic rows among all labelled ones; that of `labels` by default. `starts`: embeddings and softmax
     are trained that many times from other random values, and what they add to a text's margin is averaged: words that
     training saw seldom get less by chance."""
-    y, bags = np.array(labels, np.int64), [words(t) for t in texts]
-    some = np.array([bool(b) for b in bags], bool)
+    y, corpus = np.array(labels, np.int64), Corpus(texts, low, high, buckets)
+    some = np.array([len(b) > 0 for b in corpus.words], bool)
     prior = float(np.mean(y)) if prior is None and len(y) else prior
     if not some.any() or y[some].min() == y[some].max():  # nothing to tell apart: the (smoothed) share
         p = (float(y.sum()) + 1) / (len(y) + 2)
         return Model(np.zeros(buckets, np.float32), 1.0, float(np.log(p / (1 - p))), low, high, window)
     rng = np.random.default_rng(seed)
-    y, bags = y[some], [b for b in bags if b]
+    y = y[some]
+    corpus.cut(np.flatnonzero(some), window)
     part = np.zeros(len(y), np.int64)
     for c in (0, 1):  # each class dealt at random
         part[rng.permutation(np.flatnonzero(y == c))] = np.arange((y == c).sum()) % 4
@@ -209,12 +216,11 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
     if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
         apart[:] = False
     own = np.flatnonzero(~apart)
-    corpus = Corpus(bags, window, low, high, buckets)
     cut = lambda i, s: corpus.words[i][s : s + window]
     logit = np.zeros(buckets, np.float32)
     for k in range(starts):
         trainer = Trainer(corpus, dim, buckets, rate, decay, seed + k)
-        first = [(cut(i, int(s)), y[i]) for i in own for s in rng.integers(0, max(len(bags[i]) - window, 0) + 1, 2)]
+        first = [(cut(i, int(s)), y[i]) for i in own for s in rng.integers(0, max(len(corpus.words[i]) - window, 0) + 1, 2)]
         trainer.fit([b for b, _ in first], np.array([t for _, t in first]), epochs)
         for _ in range(rounds):
             value, worst = corpus.passages(trainer.logit()), []
