@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.stats import cohens_d, corr, slope, welch_z
 
@@ -35,10 +35,19 @@ def deficits(scores: DataFrame, tau: float = 0.08, modes: dict = MODES) -> DataF
     return out
 
 
-def bottlenecks(deficits_: DataFrame, demand_a: int = 200, demand_b: int = 50, most: int = 5) -> DataFrame:
-    """Pairs in demand with few joint examples, the worst first, with severity."""
-    severity = F.when(F.col("joint") == 0, "critical").when(F.col("joint") <= 3, "severe").otherwise("moderate")
-    return deficits_.where((F.col("demand_a") >= demand_a) & (F.col("demand_b") >= demand_b) & (F.col("joint") <= most)).withColumn("severity", severity)
+def bottlenecks(deficits_: DataFrame, demand_a: int = 200, demand_b: int = 50, most: int = 5, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs in demand with few joint examples, the fewest and then the most wanted first: joint_ratio (of a's demand),
+    severity, and titles from labels(m, title), T_m without one."""
+    severity = F.when(F.col("joint") == 0, "Critical Zero").when(F.col("joint") <= 3, "Severe Deficit").otherwise("Moderate Deficit")
+    out = deficits_.where((F.col("demand_a") >= demand_a) & (F.col("demand_b") >= demand_b) & (F.col("joint") <= most))
+    out = out.withColumn("joint_ratio", F.col("joint") / F.greatest(F.lit(1), F.col("demand_a"))).withColumn("severity", severity)
+    for x in "ab":
+        named = F.concat(F.lit("T_"), F.col(x).cast("string"))
+        if labels is not None:
+            out = out.join(labels.select(F.col("m").alias(x), F.col("title").alias(f"title_{x}")), x, "left")
+            named = F.coalesce(f"title_{x}", named)
+        out = out.withColumn(f"title_{x}", named)
+    return out.orderBy("joint", F.desc("demand_a"), "mode", "a", "b")
 
 
 def scan_summary(deficits_: DataFrame) -> DataFrame:
@@ -54,19 +63,31 @@ def latent_coverage(features: DataFrame, rows: DataFrame, members: DataFrame, ta
 
 
 def sufficiency(counts: DataFrame, population: int = 260_000, samples: int = 64) -> DataFrame:
-    """counts(n, n_members, coverage, mean_in, mean_out, var_in, var_out, n_out) with rank_bound, p_batch, welch_z,
-    cohens_d, risk, quota and verdict. Inside variance is at least the outside one."""
-    n = F.col("n")
-    v_in = F.greatest("var_in", "var_out")
-    d = F.col("mean_in") - F.col("mean_out")
-    risk = 100 * (1 - F.col("coverage")) * F.exp(-n / 50.0)
+    """counts(n, n_features, n_active, mean_in, mean_out, var_in, var_out, n_out) with coverage_pct, dead_count, rank_bound,
+    batch_visibility_pct, welch_z, risk_score, recommended_quota and verdict.
+
+    n: matching examples, null where the community has no scores (UNINDEXED). n_active: members that fire in them. A z value
+    needs two examples; the inside variance is at least the outside one and the standard error at least 1e-6.
+    """
+    n, share = F.coalesce("n", F.lit(0)), F.coalesce(F.col("n_active"), F.lit(0)) / F.greatest(F.lit(1), F.col("n_features"))
+    active = F.coalesce(F.col("n_active"), F.lit(0))
+    se = F.sqrt(F.greatest("var_in", "var_out") / n + F.col("var_out") / F.greatest(F.lit(1), F.col("n_out")))
+    quota = F.greatest(F.lit(150), F.floor(F.col("n_features") * 8.5).cast("int"))
+    verdict = F.when(F.col("n").isNull(), "UNINDEXED").when((n <= 3) | (share < 0.25), "CRITICAL").when((n < 30) | (share < 0.75), "DEFICIENT").otherwise("SUFFICIENT")
     return counts.select(
-        "*", F.least(n, F.col("n_members")).alias("rank_bound"), (1 - F.pow(1 - F.least(F.lit(1.0), n / F.lit(float(population))), F.lit(float(samples)))).alias("p_batch"),
-        F.when(n > 0, welch_z(d, v_in, n, F.col("var_out"), F.col("n_out"))).otherwise(0.0).alias("welch_z"), F.when(n > 1, cohens_d(d, v_in, n, F.col("var_out"), F.col("n_out"))).otherwise(0.0).alias("cohens_d"),
-        risk.alias("risk"), F.greatest(F.lit(0), 50 - n).alias("quota"), F.when(n == 0, "absent").when(risk > 50, "insufficient").when(risk > 10, "marginal").otherwise("sufficient").alias("verdict"),
+        "*", (100 * share).alias("coverage_pct"), (F.col("n_features") - active).alias("dead_count"), F.least(n, active).alias("rank_bound"),
+        F.least(F.lit(100.0), 100 * (1 - F.pow(1 - n / F.lit(float(population)), F.lit(float(samples))))).alias("batch_visibility_pct"),
+        F.when(n > 1, (F.col("mean_in") - F.col("mean_out")) / F.greatest(F.lit(1e-6), se)).otherwise(0.0).alias("welch_z"),
+        (100 * (1 - share) * F.exp(-n / 50.0)).alias("risk_score"), F.when(F.col("n").isNull() | (share < 0.95), quota).otherwise(0).alias("recommended_quota"), verdict.alias("verdict"),
     )
 
 
+def dead_features(features: DataFrame, rows: DataFrame, members: DataFrame, tau: float = 0.08) -> DataFrame:
+    """m, feature: members(m, feature) whose chosen maximum over the rows isn't above tau."""
+    top = features.where("side = 'C'").join(rows.select("row_idx"), "row_idx", "left_semi").groupBy("feature").agg(F.max("max_act").alias("a")).where(F.col("a") > tau)
+    return members.select("m", "feature").join(top, "feature", "left_anti").select("m", "feature")
+
+
 def global_disparity(features: DataFrame, clusters: DataFrame, rows: DataFrame, tau: float = 0.01) -> DataFrame:
     """m, u_bar: mean over the community of P(chosen fires) - P(rejected fires) on the given rows (two steps)."""
     n = rows.agg(F.count(F.lit(1)).alias("n"))
@@ -137,20 +158,29 @@ def top_k_validation(pairs: DataFrame, ks: tuple[int, ...] = (20, 50, 100)) -> D
     return r.select("k", "n", F.when(F.col("n") >= 2, F.col("r")).alias("pearson_r"), F.when(F.col("n") >= 2, F.col("r") * F.col("r")).alias("r2"))
 
 
-def replicates(pairs: DataFrame, n: int, seed: int = 0, kind: str = "permutation", paired: bool = False) -> DataFrame:
+def _shuffled(name: str, *salt) -> Column:
+    """The place, from 0, of each row of a replicate in an order of hashes."""
+    return F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", *map(F.lit, salt), "rep", name)), name)) - 1
+
+
+def replicates(pairs: DataFrame, n: int, seed: int = 0, kind: str = "permutation", paired: bool = False, k: int = 50) -> DataFrame:
     """rep, r: correlations under n seeded replicates of pairs(id, x, y), ids dense from 0.
 
     permutation: y against a shuffled order. bootstrap: x and y drawn with replacement, each with its own draws unless
-    paired. Draws are hashes of (seed, rep, place), so they don't depend on partitioning.
+    paired. subsets: the x of k pairs against the y of k others, both drawn without replacement from all. Draws are hashes
+    of (seed, salt, rep, place), so they don't depend on partitioning.
     """
     size = pairs.agg(F.count(F.lit(1)).alias("size"))
     reps = pairs.sparkSession.range(n).withColumnRenamed("id", "rep")
     place = pairs.select(F.col("id").alias("i")).crossJoin(F.broadcast(size)).crossJoin(reps)  # replicates x pairs
     if kind == "permutation":
-        other = place.withColumn("j", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "i"), "i")) - 1).withColumn("i2", F.col("i"))
-    else:
-        draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "rep", "i"), F.col("size"))
+        other = place.withColumn("j", _shuffled("i", seed)).withColumn("i2", F.col("i"))
+    elif kind == "bootstrap":
+        draw = lambda salt: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), "rep", "i")), 1, 8), 16, 10).cast("long"), F.col("size"))
         other = place.withColumn("i2", draw(1)).withColumn("j", F.col("i2") if paired else draw(2))
+    else:
+        some = lambda name, salt: place.withColumn("at", _shuffled("i", seed, salt)).where(F.col("at") < k).select("rep", "at", F.col("i").alias(name))
+        other = some("i2", 1).join(some("j", 2), ["rep", "at"])
     x, y = pairs.select(F.col("id").alias("i2"), "x"), pairs.select(F.col("id").alias("j"), "y")
     return other.join(x, "i2").join(y, "j").groupBy("rep").agg(corr("x", "y").alias("r"))
 
@@ -162,12 +192,15 @@ def permutation_p(pairs: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
 
 
 def bootstrap_ci(pairs: DataFrame, n: int = 1000, seed: int = 0, paired: bool = False) -> DataFrame:
-    return replicates(pairs, n, seed, "bootstrap", paired).agg(F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi"))
+    """lo, hi: the 95 % interval of r squared."""
+    r2 = F.col("r") * F.col("r")
+    return replicates(pairs, n, seed, "bootstrap", paired).agg(F.percentile(r2, 0.025).alias("lo"), F.percentile(r2, 0.975).alias("hi"))
 
 
-def negative_control(pairs: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean and 95th percentile of r squared over independent draws."""
-    return replicates(pairs, n, seed + 1, "bootstrap").agg(F.avg(F.col("r") * F.col("r")).alias("mean_r2"), F.percentile(F.col("r") * F.col("r"), 0.95).alias("p95_r2"))
+def negative_control(pairs: DataFrame, n: int = 1000, seed: int = 0, k: int = 50) -> DataFrame:
+    """Mean and 95th percentile of r squared between two independent subsets of k of all pairs, without replacement."""
+    r2 = F.col("r") * F.col("r")
+    return replicates(pairs, n, seed + 1, "subsets", False, k).agg(F.avg(r2).alias("mean_r2"), F.percentile(r2, 0.95).alias("p95_r2"))
 
 
 def size_audit(clusters: DataFrame) -> DataFrame:
@@ -180,7 +213,7 @@ def size_audit(clusters: DataFrame) -> DataFrame:
 def size_histogram(clusters: DataFrame) -> DataFrame:
     s = clusters.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
     c = F.col("size")
-    return s.groupBy(F.when(c < 5, "1-4").when(c < 10, "5-9").when(c < 20, "10-19").when(c < 50, "20-49").when(c < 100, "50-99").otherwise("100+").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy(F.when(c < 5, "<5").when(c < 10, "5-9").when(c < 20, "10-19").when(c < 50, "20-49").when(c < 100, "50-99").otherwise("100+").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def s_versus_u(scores: DataFrame, n: int, top: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,9 +21,9 @@ def _neighbours(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> list
 def _move(near, own: np.ndarray, degree: np.ndarray, gamma: float, two_m: float, order: np.ndarray, inside: np.ndarray | None = None) -> bool:
     """Local moves until none gains; with `inside`, only within the same part of it. Changes `own`."""
     weight = np.bincount(own, weights=degree, minlength=len(own))
-    queue, queued, moved = list(order), np.ones(len(own), bool), False
+    queue, queued, moved = deque(order), np.ones(len(own), bool), False
     while queue:
-        v = queue.pop(0)
+        v = queue.popleft()
         queued[v] = False
         to, w = near[v]
         keep = to != v
@@ -121,21 +123,26 @@ def sub_communities(edges: DataFrame, clusters: DataFrame, gamma: float = 1.5, m
     return inside.select("src", "dst", "weight", "m").groupBy("m").applyInPandas(fit, "m int, feature int, sub int")
 
 
-def label_propagation(edges: DataFrame, threshold: float = 0.0, rounds: int = 50) -> DataFrame:
-    """feature, root: connected components of edges at or above the threshold (root: smallest feature)."""
+def label_propagation(edges: DataFrame, threshold: float = 0.0, rounds: int = 60) -> DataFrame:
+    """feature, root: connected components of edges at or above the threshold (root: smallest feature).
+
+    Each round takes the smallest root among a feature and its neighbours, then that root's own root, so the rounds follow
+    the logarithm of the longest chain. Raises if they don't settle.
+    """
     spark = edges.sparkSession
     both = edges.where(F.col("weight") >= threshold).select("src", "dst")
-    both = both.union(both.select("dst", "src")).toDF("a", "b").distinct()
-    both = save(both, scratch(spark, "propagation-edges"))
+    both = save(both.union(both.select("dst", "src")).toDF("a", "b").distinct(), scratch(spark, "propagation-edges"))
     now = both.select(F.col("a").alias("feature"), F.col("a").alias("root")).distinct()
     for _ in range(rounds):
         seen = both.join(now, both["b"] == now["feature"]).groupBy("a").agg(F.min("root").alias("r"))
-        nxt = now.join(seen, now["feature"] == seen["a"]).select("feature", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("changed"))
-        nxt = save(nxt, scratch(spark, "propagation"))
+        step = now.join(seen, now["feature"] == seen["a"]).select("feature", F.col("root").alias("was"), F.least("root", "r").alias("root"))
+        jump = step.select(F.col("feature").alias("f2"), F.col("root").alias("r2"))
+        nxt = save(step.join(jump, F.col("root") == F.col("f2")).select("feature", F.least("root", "r2").alias("root"), "was"), scratch(spark, "propagation"))
         now = nxt.select("feature", "root")
-        if nxt.where("changed").isEmpty():
-            break
-    return now
+        if nxt.where("root != was").isEmpty():
+            return now
+    raise RuntimeError(f"the components did not settle in {rounds} rounds")
+
 
 
 def kmeans(vectors: DataFrame, key: str, k: int, seed: int = 0, cosine: bool = True, dims: str = "x") -> DataFrame:

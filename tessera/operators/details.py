@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.stats import corr
 from tessera.operators import explore as E
@@ -44,6 +44,8 @@ def exemplars(values: DataFrame, key: str, value: Column, n: int) -> DataFrame:
 
 def cluster_detail(kind: str, cluster: int, features: DataFrame, clusters: DataFrame, assignments: DataFrame, hypotheses: DataFrame, n: int = 10) -> DataFrame:
     """Rows (section, a, b, x): members and hypotheses of a cluster of any family (B or T by their tables)."""
+    if E.family(kind) not in ("B", "T"):
+        raise ValueError(f"clusters of family {E.family(kind)} have no hypotheses here")
     if E.family(kind) == "B":
         own = assignments.where(F.col("k") == cluster)
         head = own.select(F.lit("size").alias("section"), "row_idx").groupBy("section").agg(F.count(F.lit(1)).alias("b")).select("section", F.lit(cluster).cast("long").alias("a"), "b", F.lit(0.0).alias("x"))
@@ -66,9 +68,14 @@ def cluster_means(vector: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def cluster_validation(vector: DataFrame, clusters: DataFrame, min_members: int = 4) -> DataFrame:
-    """m, n, r, r2 of predicted against empirical over members; vector(feature, x, y); min_members or more."""
+    """m, n_features, predicted_sum, observed_sum, predicted_mean, observed_mean of the communities with min_members members in
+    vector(feature, x, y) or more; and, the same in every row, pearson_r and r2 of the sums across these communities (both 0
+    for fewer than three; r2 is 0 where r is undefined)."""
     v = clusters.join(vector.where("x IS NOT NULL AND y IS NOT NULL"), "feature")
-    return v.groupBy("m").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("r")).where(F.col("n") >= min_members).withColumn("r2", F.col("r") * F.col("r"))
+    each = v.groupBy("m").agg(F.count(F.lit(1)).alias("n_features"), F.sum("x").alias("predicted_sum"), F.sum("y").alias("observed_sum"), F.avg("x").alias("predicted_mean"), F.avg("y").alias("observed_mean")).where(F.col("n_features") >= min_members)
+    r = each.agg(F.count(F.lit(1)).alias("c"), corr("predicted_sum", "observed_sum").alias("r"))
+    r = r.select(F.when(F.col("c") > 2, F.col("r")).otherwise(0.0).alias("pearson_r")).withColumn("r2", F.coalesce(F.nanvl(F.col("pearson_r") * F.col("pearson_r"), F.lit(0.0)), F.lit(0.0)))
+    return each.crossJoin(F.broadcast(r))  # one row
 
 
 def run_summary(hypotheses: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
@@ -83,5 +90,8 @@ def family_counts(catalog: DataFrame) -> DataFrame:
 
 
 def with_fallback(main: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
-    """main's values, and other's for keys that main lacks or has empty."""
-    return main.select(key, F.col(value).alias("__a")).join(other.select(key, F.col(value).alias("__b")), key, "full_outer").select(key, F.coalesce("__a", "__b").alias(value))
+    """main's values, and other's for keys that main lacks or has null or empty (an empty string, list or map)."""
+    kind = main.schema[value].dataType
+    empty = F.size("__a") == 0 if isinstance(kind, (T.ArrayType, T.MapType)) else F.col("__a") == "" if isinstance(kind, T.StringType) else F.lit(False)
+    both = main.select(key, F.col(value).alias("__a")).join(other.select(key, F.col(value).alias("__b")), key, "full_outer")
+    return both.select(key, F.coalesce(F.when(~empty, F.col("__a")), "__b", "__a").alias(value))

@@ -8,20 +8,22 @@ from tessera.operators.features import RESPONSES, firing_stats
 
 
 def parse_conditions(text: str, default: float = 0.01) -> list[tuple[int, str, float]]:
-    """'m:direction[:threshold],...'. A bad m skips the condition, a bad direction is amplify, a bad threshold the default."""
+    """'m:direction[:threshold],...'. A part without a direction or with a bad m is skipped, a bad direction is amplify, a bad
+    threshold the default."""
     out = []
     for part in (text or "").split(","):
-        bits = [b.strip() for b in part.split(":")]
+        m, *bits = (b.strip() for b in part.split(":"))
+        if not bits:
+            continue
         try:
-            m = int(bits[0])
+            number = int(m)
         except ValueError:
             continue
-        direction = bits[1] if len(bits) > 1 and bits[1] in ("amplify", "suppress") else "amplify"
         try:
-            threshold = float(bits[2]) if len(bits) > 2 else default
+            threshold = float(bits[1]) if bits[1:] and bits[1] else default
         except ValueError:
             threshold = default
-        out.append((m, direction, threshold))
+        out.append((number, bits[0] if bits[0] == "suppress" else "amplify", threshold))
     return out
 
 
@@ -48,10 +50,10 @@ def evidence(hypotheses: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def score_data_clusters(with_evidence: DataFrame) -> DataFrame:
-    """k, relevance (sum of evidence), best_m, best_evidence: clusters with any evidence; ties: smaller m."""
+    """k, relevance (the best evidence), best_m: clusters with any evidence, the most relevant first; ties: smaller m, smaller k."""
     best = F.max(F.struct(F.col("evidence").alias("e"), (-F.col("m")).alias("m")))
-    out = with_evidence.groupBy("k").agg(F.sum("evidence").alias("relevance"), best.alias("b"))
-    return out.where("relevance > 0").select("k", "relevance", (-F.col("b.m")).cast("int").alias("best_m"), F.col("b.e").alias("best_evidence"))
+    out = with_evidence.groupBy("k").agg(best.alias("b")).where("b.e > 0")
+    return out.select("k", F.col("b.e").alias("relevance"), (-F.col("b.m")).cast("int").alias("best_m")).orderBy(F.desc("relevance"), "k")
 
 
 def top_per(df: DataFrame, key: str, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -80,7 +82,7 @@ def pair_concepts(signals: DataFrame, best: DataFrame, clusters: DataFrame, labe
     """side, m, signal, k, strength, title: the n most promoted and the n most suppressed concepts that have a hypothesis."""
     size = clusters.groupBy("m").agg(F.count(F.lit(1)).alias("t_m")).where(F.col("t_m") >= min_size)
     s = signals.where("signal <> 0").join(F.broadcast(size.select("m")), "m", "left_semi").join(F.broadcast(best.select("m", "k")), "m")
-    strength = F.when(F.abs("signal") >= 0.15, "strong").when(F.abs("signal") >= 0.05, "moderate").otherwise("weak")
+    strength = F.when(F.abs("signal") > 0.15, "Strong").when(F.abs("signal") > 0.05, "Moderate").otherwise("Weak")
     s = enrich(s.withColumn("side", F.when(F.col("signal") > 0, "promoted").otherwise("suppressed")).withColumn("strength", strength), labels)
     return top_per(s, "side", [F.desc(F.abs("signal")), F.col("m")], n)
 
@@ -92,17 +94,18 @@ def rank_samples(scores: DataFrame, m: int, side: str = "amplify", top_n: int =
     return hit.orderBy(order, "row_idx").limit(min(200, max(1, top_n))), hit.agg(F.count(F.lit(1)).alias("total_matching"))
 
 
-def rank_compound(scores: DataFrame, conditions: list[tuple[int, str, float]], known: set[int], top_n: int = 12, strict: bool = False) -> DataFrame:
+def rank_compound(scores: DataFrame, conditions: list[tuple[int, str, float]], known: set[int], top_n: int = 12, strict: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """row_idx, score: rows where every known condition's direction holds, by the sum of |u|. Thresholds are not applied.
 
-    Conditions on unknown communities are ignored; if none is known every row with a score matches with 0 (an error if
-    strict).
+    Conditions on unknown communities are ignored; if none is known every example of `rows` (without it, every row with a
+    score) matches with 0 (an error if strict).
     """
     wanted = sorted({(m, d) for m, d, _ in conditions if m in known})
     if not wanted:
         if strict:
             raise ValueError("no condition names a known community")
-        return scores.select("row_idx").distinct().select("row_idx", F.lit(0.0).alias("score")).orderBy("row_idx").limit(top_n)
+        all_rows = scores.select("row_idx").distinct() if rows is None else rows
+        return all_rows.select("row_idx", F.lit(0.0).alias("score")).orderBy("row_idx").limit(top_n)
     match = F.lit(False)
     for m, d in wanted:
         match = match | ((F.col("m") == m) & ((F.col("u") > 0) if d == "amplify" else (F.col("u") < 0)))

@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with you your".split()
+# The words that say nothing of a cluster.
+STOP = """
+about after again against almost along already also although always among another answer anyone anything around because before
+behind being below between beyond cannot could during either enough every except explain first following further given giving
+having instead itself little mainly making many might myself neither never nothing number often other others please provide
+rather really regarding several should since someone something sometimes still their theirs them themselves there these things
+those though through together toward under until using various welcome where whether which while whose within without would
+write writing yours assistant human prompt response chosen rejected promoted suppressed
+""".split()
+#: Runs of anything but white space, Unicode's included.
+BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def tokens(df: DataFrame, text: str = "text", shortest: int = 5) -> DataFrame:
-    """df with pos, token: lower-cased runs of letters of at least `shortest` letters, stop words left out."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z]+"), F.lit(0)), lambda w: (F.length(w) >= shortest) & ~w.isin(*STOP))
-    return df.select("*", F.posexplode(words).alias("pos", "token"))
+def _exploded(df: DataFrame, words: Column, ok) -> DataFrame:
+    return df.select("*", F.posexplode(F.filter(words, lambda w: (F.char_length(w) >= 5) & ok(w) & ~w.isin(*STOP))).alias("pos", "token"))
+
+
+def tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with pos, token: lower-cased runs of letters, digits, _ and ', without quotes at their ends; those of five letters of
+    any script or more and nothing else, stop words left out."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    return _exploded(df, F.transform(runs, lambda w: F.trim(w, F.lit("'"))), lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))
+
+
+def keyword_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with pos, token: lower-cased words between white space without punctuation at their ends, of five characters or more,
+    stop words left out."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[^{BLANK}]+"), F.lit(0))
+    return _exploded(df, F.transform(runs, lambda w: F.trim(w, F.lit(".,!?;:'\"()"))), lambda w: F.lit(True))
 
 
 def weighted_tokens(df: DataFrame, key: str, weight: str, n: int = 8) -> DataFrame:
@@ -43,20 +65,59 @@ def random_members(assignments: DataFrame, n: int = 20, seed: int = 0) -> DataFr
     return assignments.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(h, "row_idx"))).where(F.col("rank") <= n)
 
 
-def decile_sample(scores: DataFrame, n: int = 10, per: int = 1) -> DataFrame:
-    """m, row_idx, decile, score: `per` top rows of each decile of score within m; the first n by decile upward, as the
-    lower deciles come first; the last decile is closed above."""
-    cuts = scores.groupBy("m").agg(F.percentile("score", [i / 10 for i in range(1, 10)]).alias("cuts"))
-    d = scores.join(F.broadcast(cuts), "m").withColumn("decile", F.size(F.filter("cuts", lambda c: F.col("score") >= c)))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("m", "decile").orderBy(F.desc("score"), "row_idx"))).where(F.col("r") <= per)
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("m").orderBy("decile", "r"))).where(F.col("place") <= n).select("m", "row_idx", "decile", "score")
+def _sample_size(sizes: DataFrame, most: int) -> DataFrame:
+    """m, want: half of the community's features, four at least and `most` at most."""
+    return sizes.groupBy("m").agg(F.count(F.lit(1)).alias("t")).select("m", F.least(F.lit(most), F.greatest(F.lit(4), F.expr("t DIV 2"))).alias("want"))
+
 
+def decile_sample(scores: DataFrame, clusters: DataFrame, most: int = 30) -> DataFrame:
+    """m, row_idx, decile, score, rank: rows from all deciles of the scores above 0, the strongest first.
 
-def top_disparity(scores: DataFrame, most: int = 8) -> DataFrame:
-    """m, row_idx, u, rank: rows by |u|; as many as min(most, max(4, rows / 2))."""
-    w = Window.partitionBy("m")
-    s = scores.where("u <> 0").withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("u")), "row_idx")))
-    return s.where(F.col("rank") <= F.least(F.lit(most), F.greatest(F.lit(4), F.expr("n DIV 2")))).select("m", "row_idx", "u", "rank")
+    A community of t features gets min(most, max(4, t / 2)) rows; each decile, from the lowest, gives its max(1, rows / 10)
+    strongest until there are enough; the last decile is closed above. clusters: m, feature.
+    """
+    scores = scores.where("score > 0")
+    cuts = scores.groupBy("m").agg(F.percentile("score", [i / 10 for i in range(1, 10)]).alias("cuts"))
+    d = scores.join(cuts, "m").withColumn("decile", F.size(F.filter("cuts", lambda c: F.col("score") >= c))).join(_sample_size(clusters, most), "m")
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("m", "decile").orderBy(F.desc("score"), "row_idx"))).where(F.col("r") <= F.greatest(F.lit(1), F.expr("want DIV 10")))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("m").orderBy("decile", "r"))).where(F.col("place") <= F.col("want"))
+    return d.select("m", "row_idx", "decile", "score", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("score"), "row_idx")).alias("rank"))
+
+
+def top_disparity(scores: DataFrame, clusters: DataFrame, most: int = 8) -> DataFrame:
+    """m, row_idx, u, rank: rows by |u|; as many as min(most, max(4, the community's features / 2)). clusters: m, feature."""
+    s = scores.where("u <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("m").orderBy(F.desc(F.abs("u")), "row_idx"))).where(F.col("rank") <= most)
+    return s.join(_sample_size(clusters, most), "m").where(F.col("rank") <= F.col("want")).select("m", "row_idx", "u", "rank")
+
+
+SILENT = 0
+
+
+def keyword_labels(samples: DataFrame, key: str = "k", order: str = "place") -> DataFrame:
+    """key, title, description, keywords of each cluster's sample texts (key, order, text), without a model.
+
+    The five commonest words; the title names the first two, the description the first four. Cluster 0 holds the silent rows
+    and has a label of its own. A cluster without a word has no keyword.
+    """
+    words = keywords(keyword_tokens(samples).drop("text"), key, order)
+    top = words.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
+    top = samples.select(key).distinct().join(top, key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    pair = F.array_join(F.slice("keywords", 1, 2), "/")
+    title = F.concat(F.lit("Topic Cluster "), F.col(key).cast("string"), F.lit(": "), F.upper(F.substring(pair, 1, 1)), F.substring(pair, 2, 1 << 20))
+    text = F.concat(F.lit("Cluster containing responses associated with "), F.array_join(F.slice("keywords", 1, 4), ", "), F.lit("."))
+    silent = F.col(key) == SILENT
+    return top.select(key, F.when(silent, "Silent Bucket (B_0)").otherwise(title).alias("title"), F.when(silent, "Rows whose prompts fire too little to tell a topic.").otherwise(text).alias("description"), F.when(~silent, F.col("keywords")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+
+
+def label_clusters(samples: DataFrame, done: DataFrame, labeler=keyword_labels, key: str = "k") -> DataFrame:
+    """Labels of all clusters: those in `done` stay, the others get theirs from `labeler`, a function of sample rows (key, place,
+    text) to rows (key, title, description, keywords); it may call a model by mapInPandas. What it leaves out or returns
+    without a title falls back to keyword_labels."""
+    todo = samples.join(done.select(key).distinct(), key, "left_anti")
+    made = labeler(todo).select(key, "title", "description", "keywords").where("coalesce(title, '') <> ''")
+    if labeler is not keyword_labels:
+        made = merge_labels(made, keyword_labels(todo), key)
+    return merge_labels(done.select(key, "title", "description", "keywords"), made, key)
 
 
 def parse_label(text: Column) -> Column:

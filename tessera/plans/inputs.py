@@ -20,6 +20,8 @@ SELECT o_orderkey, 'P', CAST(64 + o_custkey % 5 AS INT), (1 + o_orderkey % 11) /
 """
 CLUSTERS = "SELECT DISTINCT CAST(l_partkey % 256 AS INT) AS feature, CAST(l_partkey % 256 % 16 + 1 AS INT) AS m FROM lineitem"
 ASSIGNMENTS = "SELECT o_orderkey AS row_idx, CAST(o_custkey % 8 + 1 AS INT) AS k FROM orders"
+#: The examples that stand for a live text: those of the customer with most orders.
+LIVE = "SELECT o_orderkey FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1)"
 DOC_PAIRS = """
 SELECT a.doc_id AS row_idx, a.text AS left_text, b.text AS right_text, a.doc_id + 0 AS example_id,
        CASE WHEN coalesce(lb.quality, 0) > coalesce(la.quality, 0) THEN b.text ELSE a.text END AS chosen,
@@ -58,6 +60,11 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CLUSTERS)
 
 
+def live(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """The rows of the examples that stand for a live text."""
+    return rows.join(view(spark, sf_dir, LIVE).withColumnRenamed("o_orderkey", "row_idx"), "row_idx", "left_semi")
+
+
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, ASSIGNMENTS)
 

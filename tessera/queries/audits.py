@@ -26,37 +26,34 @@ def g32(spark, d):
     return A.scan_summary(A.deficits(_scores(spark, d)))
 
 
-@query("w16_bottlenecks", f"{BASE}{_DIR} SELECT mode, a, b, demand_a, demand_b, joint, CASE WHEN joint = 0 THEN 'critical' WHEN joint <= 3 THEN 'severe' ELSE 'moderate' END AS severity FROM de WHERE demand_a >= 200 AND demand_b >= 50 AND joint <= 400")
+@query("w16_bottlenecks", f"{BASE}{_DIR} SELECT mode, a, b, demand_a, demand_b, joint, {R('joint / CAST(greatest(1, demand_a) AS DOUBLE)')} AS joint_ratio, CASE WHEN joint = 0 THEN 'Critical Zero' WHEN joint <= 3 THEN 'Severe Deficit' ELSE 'Moderate Deficit' END AS severity, 'T_' || a AS title_a, 'T_' || b AS title_b FROM de WHERE demand_a >= 60 AND demand_b >= 50 AND joint <= 5")
 def w16(spark, d):
-    return A.bottlenecks(A.deficits(_scores(spark, d)), most=400)
+    return rounded(A.bottlenecks(A.deficits(_scores(spark, d)), demand_a=60), "joint_ratio")
 
 
-@query("g33_coverage", f"{BASE}, x AS (SELECT feature, max(max_act) AS a FROM features WHERE side = 'C' AND row_idx < 30 GROUP BY 1) SELECT count(*) AS n_members, count(*) FILTER (coalesce(a, 0) > 0.5) AS n_covered, {R('count(*) FILTER (coalesce(a, 0) > 0.5) / CAST(count(*) AS DOUBLE)')} AS coverage FROM clusters LEFT JOIN x USING (feature) WHERE m = 3")
+@query("g33_coverage", f"{BASE}, x AS (SELECT feature, max(max_act) AS a FROM features WHERE side = 'C' GROUP BY 1) SELECT count(*) AS n_members, count(*) FILTER (coalesce(a, 0) > 0.5) AS n_covered, {R('count(*) FILTER (coalesce(a, 0) > 0.5) / CAST(count(*) AS DOUBLE)')} AS coverage FROM clusters LEFT JOIN x USING (feature) WHERE m = 3")
 def g33(spark, d):
-    return rounded(A.latent_coverage(I.features(spark, d), I.examples(spark, d).where("row_idx < 30"), I.clusters(spark, d).where("m = 3"), 0.5), "coverage")
+    return rounded(A.latent_coverage(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d).where("m = 3"), 0.5), "coverage")
 
 
-@query("g34_sufficiency", f"""WITH x AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS id, count(*) % 61 AS n, 16 AS n_members, (o_custkey % 40) / 40.0e0 AS coverage, 0.3e0 AS mean_in, 0.1e0 AS mean_out, 0.05e0 AS var_in, 0.06e0 AS var_out, 1000 AS n_out FROM orders GROUP BY o_custkey % 40)
-SELECT id, CAST(least(n, n_members) AS BIGINT) AS rank_bound, {R('1 - pow(1 - least(1, n / 260000.0e0), 64)')} AS p_batch, {R('CASE WHEN n > 0 THEN 0.2e0 / sqrt(0.06e0 / n + 0.06e0 / 1000 + 1e-12) ELSE 0 END')} AS welch_z, {R('100 * (1 - coverage) * exp(-n / 50.0e0)')} AS risk, CAST(greatest(0, 50 - n) AS BIGINT) AS quota,
-CASE WHEN n = 0 THEN 'absent' WHEN 100 * (1 - coverage) * exp(-n / 50.0e0) > 50 THEN 'insufficient' WHEN 100 * (1 - coverage) * exp(-n / 50.0e0) > 10 THEN 'marginal' ELSE 'sufficient' END AS verdict FROM x""")
+@query("g34_sufficiency", f"""WITH x AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS id, CASE WHEN o_custkey % 40 <> 7 THEN count(*) % 61 END AS n, 16 AS n_features, (o_custkey % 40) * 16 // 39 AS n_active FROM orders GROUP BY o_custkey % 40),
+y AS (SELECT *, coalesce(n, 0) AS c, n_active / 16.0e0 AS cov FROM x)
+SELECT id, {R('100 * cov')} AS coverage_pct, CAST(16 - n_active AS BIGINT) AS dead_count, CAST(least(c, n_active) AS BIGINT) AS rank_bound, {R('least(100, (1 - pow(1 - c / 260000.0e0, 64)) * 100)')} AS batch_visibility_pct,
+{R('CASE WHEN c > 1 THEN 0.2e0 / greatest(1e-6, sqrt(greatest(0.05e0, 0.06e0) / c + 0.06e0 / 1000)) ELSE 0 END')} AS welch_z, {R('100 * (1 - cov) * exp(-c / 50.0e0)')} AS risk_score, CAST(CASE WHEN n IS NULL OR 100 * cov < 95 THEN greatest(150, floor(16 * 8.5)) ELSE 0 END AS INT) AS recommended_quota,
+CASE WHEN n IS NULL THEN 'UNINDEXED' WHEN c <= 3 OR 100 * cov < 25 THEN 'CRITICAL' WHEN c < 30 OR 100 * cov < 75 THEN 'DEFICIENT' ELSE 'SUFFICIENT' END AS verdict FROM y""")
 def g34(spark, d):
     x = I.base(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("id")).agg((F.count(F.lit(1)) % 61).alias("n"))
-    x = x.select("id", "n", F.lit(16).alias("n_members"), (F.col("id") / 40.0).alias("coverage"), *(F.lit(v).alias(c) for c, v in (("mean_in", 0.3), ("mean_out", 0.1), ("var_in", 0.05), ("var_out", 0.06), ("n_out", 1000))))
-    return rounded(A.sufficiency(x).select("id", "rank_bound", "p_batch", "welch_z", "risk", "quota", "verdict"), "p_batch", "welch_z", "risk")
-
-
-@query("g35_global_disparity", f"{BASE}, p AS (SELECT feature, CAST(sum(CASE side WHEN 'C' THEN 1 ELSE -1 END) AS DOUBLE) AS net FROM features WHERE side <> 'P' AND freq > 0.01 AND row_idx % 2 = 0 GROUP BY 1) SELECT m, {R('sum(coalesce(net, 0)) / (SELECT count(*) FROM examples WHERE row_idx % 2 = 0) / count(*)')} AS u_bar FROM clusters LEFT JOIN p USING (feature) GROUP BY m")
-def g35(spark, d):
-    return rounded(A.global_disparity(I.features(spark, d), I.clusters(spark, d), I.examples(spark, d).where("row_idx % 2 = 0")), "u_bar")
+    x = x.select("id", F.when(F.col("id") != 7, F.col("n")).alias("n"), F.lit(16).alias("n_features"), F.expr("id * 16 DIV 39").alias("n_active"), *(F.lit(v).alias(c) for c, v in (("mean_in", 0.3), ("mean_out", 0.1), ("var_in", 0.05), ("var_out", 0.06), ("n_out", 1000))))
+    return rounded(A.sufficiency(x).select("id", "coverage_pct", "dead_count", "rank_bound", "batch_visibility_pct", "welch_z", "risk_score", "recommended_quota", "verdict"), "coverage_pct", "batch_visibility_pct", "welch_z", "risk_score")
 
 
-@query("g33_coverage_whole", SQL["g33_coverage"].replace(" AND row_idx < 30", ""))
-def g33_whole(spark, d):
-    return rounded(A.latent_coverage(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d).where("m = 3"), 0.5), "coverage")
+@query("g33_dead_features", f"{BASE} SELECT m, feature FROM clusters WHERE feature NOT IN (SELECT feature FROM features WHERE side = 'C' GROUP BY 1 HAVING max(max_act) > 0.98)")
+def g33d(spark, d):
+    return A.dead_features(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d), 0.98)
 
 
-@query("g35_global_disparity_whole", SQL["g35_global_disparity"].replace(" AND row_idx % 2 = 0", "").replace(" WHERE row_idx % 2 = 0", ""))
-def g35_whole(spark, d):
+@query("g35_global_disparity", f"{BASE}, p AS (SELECT feature, CAST(sum(CASE side WHEN 'C' THEN 1 ELSE -1 END) AS DOUBLE) AS net FROM features WHERE side <> 'P' AND freq > 0.01 GROUP BY 1) SELECT m, {R('sum(coalesce(net, 0)) / (SELECT count(*) FROM examples) / count(*)')} AS u_bar FROM clusters LEFT JOIN p USING (feature) GROUP BY m")
+def g35(spark, d):
     return rounded(A.global_disparity(I.features(spark, d), I.clusters(spark, d), I.examples(spark, d)), "u_bar")
 
 
@@ -124,7 +121,7 @@ def g48(spark, d):
     return rounded(A.size_audit(_cc(spark, d)), "mean_size", "median_size")
 
 
-@query("g48_size_histogram", f"WITH {_CC} SELECT CASE WHEN size < 5 THEN '1-4' WHEN size < 10 THEN '5-9' WHEN size < 20 THEN '10-19' WHEN size < 50 THEN '20-49' WHEN size < 100 THEN '50-99' ELSE '100+' END AS bucket, count(*) AS n FROM z GROUP BY 1")
+@query("g48_size_histogram", f"WITH {_CC} SELECT CASE WHEN size < 5 THEN '<5' WHEN size < 10 THEN '5-9' WHEN size < 20 THEN '10-19' WHEN size < 50 THEN '20-49' WHEN size < 100 THEN '50-99' ELSE '100+' END AS bucket, count(*) AS n FROM z GROUP BY 1")
 def g48h(spark, d):
     return A.size_histogram(_cc(spark, d))
 
@@ -165,10 +162,15 @@ def o8(spark, d):
     return e.join(row_sample(e, 1000).withColumn("part", F.lit("eval")), "row_idx", "left").fillna("train", ["part"])
 
 
-@query("g42_permutation_p")
+@query("g42_permutation_p", f"""WITH {_XY}, v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM xy WHERE y IS NOT NULL), rp AS (SELECT v.id AS i, r.rep, (SELECT count(*) FROM v) AS size FROM v, (SELECT unnest(range(200)) AS rep) r),
+pm AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || i), i) - 1 AS j FROM rp), pr AS (SELECT rep, corr(a.x, b.y) AS r FROM pm JOIN v a ON a.id = i JOIN v b ON b.id = j GROUP BY rep),
+bm AS (SELECT rep, CAST('0x' || substr(md5('0:1:' || rep || ':' || i), 1, 8) AS BIGINT) % size AS i, CAST('0x' || substr(md5('0:2:' || rep || ':' || i), 1, 8) AS BIGINT) % size AS j FROM rp), br AS (SELECT rep, corr(a.x, b.y) ** 2 AS r2 FROM bm JOIN v a ON a.id = i JOIN v b ON b.id = j GROUP BY rep),
+nx AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY md5('1:1:' || rep || ':' || i), i) AS pl FROM rp), ny AS (SELECT rep, i AS j, row_number() OVER (PARTITION BY rep ORDER BY md5('1:2:' || rep || ':' || i), i) AS pl FROM rp),
+nr AS (SELECT rep, corr(a.x, b.y) ** 2 AS r2 FROM nx JOIN ny USING (rep, pl) JOIN v a ON a.id = i JOIN v b ON b.id = j WHERE pl <= 50 GROUP BY rep)
+SELECT {R("(SELECT (1 + count(*) FILTER (abs(r) >= abs((SELECT corr(x, y) FROM v)) - 1e-12)) / 201.0e0 FROM pr)")} AS p_perm, {R("(SELECT quantile_cont(r2, 0.025) FROM br)")} AS lo, {R("(SELECT quantile_cont(r2, 0.975) FROM br)")} AS hi, {R("(SELECT avg(r2) FROM nr)")} AS mean_r2, {R("(SELECT quantile_cont(r2, 0.95) FROM nr)")} AS p95_r2""")
 def g42(spark, d):
     xy = storage.number_rows(_xy(spark, d).where("y IS NOT NULL").withColumnRenamed("id", "part"), ["part"], "id").select("id", "x", "y")
-    return A.permutation_p(xy, 200).crossJoin(A.bootstrap_ci(xy, 200)).crossJoin(A.negative_control(xy, 200))
+    return rounded(A.permutation_p(xy, 200).crossJoin(A.bootstrap_ci(xy, 200)).crossJoin(A.negative_control(xy, 200)), "p_perm", "lo", "hi", "mean_r2", "p95_r2")
 
 
 @query("t1_stream_statistics", f"SELECT CAST(user_id % 8 AS INT) AS k, event_type AS m, count(*) AS n, {R('sum(value)')} AS s, {R('sum(value * value)')} AS q FROM events GROUP BY 1, 2")

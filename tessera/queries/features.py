@@ -19,9 +19,10 @@ def s1(spark, d):
     return S.extract(I.view(spark, d, I.DOC_PAIRS))
 
 
-@query("s4_first_n", "SELECT o_orderkey AS row_idx, o_totalprice FROM orders WHERE o_orderkey < 100")
+@query("s4_first_n", "SELECT o_orderkey * 10 AS example_id, o_orderstatus AS prompt, o_orderpriority AS chosen, o_orderstatus AS rejected FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100) WHERE o_orderstatus <> '' AND o_orderpriority <> ''")
 def s4(spark, d):
-    return S.lookup(I.base(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice"), 0, 100)
+    o = I.base(spark, d, "orders").select((F.col("o_orderkey") * 10).alias("example_id"), F.col("o_orderstatus").alias("prompt"), F.col("o_orderpriority").alias("chosen"), F.col("o_orderstatus").alias("rejected"))
+    return S.extract(o, max_samples=100)
 
 
 def _json(spark, orders):
@@ -30,13 +31,8 @@ def _json(spark, orders):
     return spark.read.schema("example_id long, title string").json(path)
 
 
-@query("s5_json_round_trip", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders WHERE o_orderkey < 500")
+@query("s5_json_round_trip", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders")
 def s5(spark, d):
-    return _json(spark, I.base(spark, d, "orders").where("o_orderkey < 500"))
-
-
-@query("s5_json_round_trip_whole", "SELECT o_orderkey AS example_id, o_orderpriority AS title FROM orders")
-def s5_whole(spark, d):
     return _json(spark, I.base(spark, d, "orders"))
 
 
@@ -95,14 +91,14 @@ def e4(spark, d):
     return X.truncate_spans(x, 20, 50).select("row_idx", F.size("prompt").alias("n_prompt"), F.size("response").alias("n_response"))
 
 
-_HASHED = """x AS (SELECT doc_id AS row_idx, list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 64) AS t FROM documents),
+_HASHED = """x AS (SELECT doc_id AS row_idx, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents),
 a AS (SELECT row_idx, len(t) AS n_tokens, unnest(t) AS token FROM x),
 f AS (SELECT row_idx, CAST(CAST('0x' || left(md5(token), 7) AS INT) % 512 AS INT) AS feature, max(1 + length(token) / 10.0e0) AS max_act, count(*) / CAST(any_value(n_tokens) AS DOUBLE) AS freq FROM a GROUP BY 1, 2)"""
 
 
-def _hashed(spark, d, most=64):
+def _hashed(spark, d):
     docs = I.base(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("chosen"))
-    return X.pool(*encode.hash_encode(docs, 512, most, (("C", "chosen"),)))
+    return X.pool(*encode.hash_encode(docs, 512, None, (("C", "chosen"),)))
 
 
 @query("e6_span_pool", f"WITH {_HASHED} SELECT row_idx, feature, {R('max_act')} AS max_act, {R('freq')} AS freq FROM f")
@@ -110,14 +106,6 @@ def e6(spark, d):
     return _hashed(spark, d).select("row_idx", "feature", r6(F.col("max_act")).alias("max_act"), r6(F.col("freq")).alias("freq"))
 
 
-_WHOLE = _HASHED.replace("list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 64)", "regexp_extract_all(lower(text), '[a-z]+')")
-
-
-@query("e6_span_pool_whole", f"WITH {_WHOLE} SELECT row_idx, feature, {R('max_act')} AS max_act, {R('freq')} AS freq FROM f")
-def e6_whole(spark, d):
-    return _hashed(spark, d, None).select("row_idx", "feature", r6(F.col("max_act")).alias("max_act"), r6(F.col("freq")).alias("freq"))
-
-
 @query("e14_delta", f"{BASE} SELECT row_idx, feature, {R('''sum(CASE side WHEN 'C' THEN max_act ELSE -max_act END)''')} AS d_max, {R('''sum(CASE side WHEN 'C' THEN freq ELSE -freq END)''')} AS d_freq FROM features WHERE side <> 'P' GROUP BY 1, 2")
 def e14(spark, d):
     return X.delta(I.features(spark, d)).select("row_idx", "feature", r6(F.col("d_max")).alias("d_max"), r6(F.col("d_freq")).alias("d_freq"))
@@ -215,7 +203,7 @@ def g29(spark, d):
 
 
 _STOPS = ", ".join(f"'{w}'" for w in L.STOP)
-_TOKENS = f"tk AS (SELECT doc_id, lang, i AS pos, token FROM (SELECT doc_id, lang, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 5 AND x NOT IN ({_STOPS})) AS w FROM documents)))"
+_TOKENS = f"tk AS (SELECT doc_id, lang, i AS pos, token FROM (SELECT doc_id, lang, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+'), lambda x: trim(x, '''')), lambda x: length(x) >= 5 AND regexp_full_match(x, '\\p{{L}}+') AND x NOT IN ({_STOPS})) AS w FROM documents)))"
 
 
 @query("g51_weighted_tokens", f"WITH {_TOKENS}, s AS (SELECT lang, token, CAST(sum(doc_id % 7) AS BIGINT) AS weight FROM tk GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, token) AS rank FROM s) SELECT lang, token, weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
@@ -224,9 +212,24 @@ def g51(spark, d):
     return L.weighted_tokens(t, "lang", "w")
 
 
-@query("g52_keywords", f'WITH {_TOKENS}, s AS (SELECT lang, token, count(*) AS count, min(doc_id * 100000 + pos) AS first FROM tk GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, first, token) AS rank FROM s) SELECT lang, token, count, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5')
+_WORDS = f"tk AS (SELECT doc_id, lang, i AS pos, token FROM (SELECT doc_id, lang, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(lower(text), '[^{L.BLANK}]+'), lambda x: trim(x, '.,!?;:''\"()')), lambda x: length(x) >= 5 AND x NOT IN ({_STOPS})) AS w FROM documents)))"
+
+
+@query("g52_keywords", f'WITH {_WORDS}, s AS (SELECT lang, token, count(*) AS count, min(doc_id * 100000 + pos) AS first FROM tk GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY count DESC, first, token) AS rank FROM s) SELECT lang, token, count, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5')
 def g52(spark, d):
-    return L.keywords(L.tokens(I.base(spark, d, "documents").select("doc_id", "lang", "text")).drop("text"), "lang", "doc_id")
+    return L.keywords(L.keyword_tokens(I.base(spark, d, "documents").select("doc_id", "lang", "text")).drop("text"), "lang", "doc_id")
+
+
+_SAMPLES = "sm AS (SELECT CAST(doc_id % 6 AS INT) AS k, doc_id AS place, text FROM documents WHERE doc_id // 6 < 20)"
+_KEYS = f"lt AS (SELECT k, place, i AS pos, token FROM (SELECT k, place, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT k, place, list_filter(list_transform(regexp_extract_all(lower(text), '[^{L.BLANK}]+'), lambda x: trim(x, '.,!?;:''\"()')), lambda x: length(x) >= 5 AND x NOT IN ({_STOPS})) AS w FROM sm))), lc AS (SELECT k, token, count(*) AS c, min(place * 100000 + pos) AS f FROM lt GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, f, token) AS r FROM lc), la AS (SELECT k, list(token ORDER BY r) AS w FROM lr WHERE r <= 5 GROUP BY k)"
+
+
+@query("q5_cluster_labels", f"""WITH {_SAMPLES}, {_KEYS}, lp AS (SELECT k, coalesce(w, []) AS w, array_to_string(coalesce(w, [])[1:2], '/') AS p FROM (SELECT DISTINCT k FROM sm) LEFT JOIN la USING (k))
+SELECT k, CASE WHEN k = 2 THEN 'kept' WHEN k = 0 THEN 'Silent Bucket (B_0)' ELSE 'Topic Cluster ' || k || ': ' || upper(left(p, 1)) || substr(p, 2) END AS title, CASE WHEN k = 2 THEN 'done before' WHEN k = 0 THEN 'Rows whose prompts fire too little to tell a topic.' ELSE 'Cluster containing responses associated with ' || array_to_string(w[1:4], ', ') || '.' END AS description, CASE WHEN k = 2 THEN 'own' WHEN k = 0 THEN '' ELSE array_to_string(w, ' ') END AS keywords FROM lp""")
+def q5(spark, d):
+    samples = I.base(spark, d, "documents").where("doc_id DIV 6 < 20").select((F.col("doc_id") % 6).cast("int").alias("k"), F.col("doc_id").alias("place"), "text")
+    done = spark.createDataFrame([(2, "kept", "done before", ["own"])], "k int, title string, description string, keywords array<string>")
+    return L.label_clusters(samples, done).withColumn("keywords", F.array_join("keywords", " "))
 
 
 @query("f8_json_labels", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS title FROM events")

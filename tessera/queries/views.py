@@ -133,11 +133,11 @@ def b2(spark, d):
     return rounded(V.hypotheses(I.features(spark, d), e, _pk(spark, d), I.clusters(spark, d), e.count()), "u_in", "u_out", "delta", "z_score", "cohens_d", digits=9)
 
 
-_VEC = "vec AS (SELECT feature, max(max_act) AS act FROM features WHERE side = 'C' AND row_idx < 40 GROUP BY feature)"
+_VEC = f"vec AS (SELECT feature, max(max_act) AS act FROM features WHERE side = 'C' AND row_idx IN ({I.LIVE}) GROUP BY feature)"
 
 
 def _vec(spark, d):
-    return I.features(spark, d).where("side = 'C' AND row_idx < 40").groupBy("feature").agg(F.max("max_act").alias("act"))
+    return I.live(spark, d, I.features(spark, d)).where("side = 'C'").groupBy("feature").agg(F.max("max_act").alias("act"))
 
 
 _SIG = f"{_VEC}, sg AS (SELECT m, sum(coalesce(act, 0)) AS signal, avg(coalesce(act, 0)) AS mean_signal FROM clusters LEFT JOIN vec USING (feature) GROUP BY m)"
@@ -157,9 +157,9 @@ def _signals(spark, d):
     return E.cluster_signals(_vec(spark, d), I.clusters(spark, d), 256)
 
 
-@query("g26_data_clusters", f"{_HY}, rr AS (SELECT k, m, evidence, row_number() OVER (PARTITION BY k ORDER BY evidence DESC, m) AS r, sum(evidence) OVER (PARTITION BY k) AS relevance FROM ev) SELECT k, {R('relevance')} AS relevance, m AS best_m, {R('evidence')} AS best_evidence FROM rr WHERE r = 1 AND relevance > 0")
+@query("g26_data_clusters", f"{_HY}, rr AS (SELECT k, m, evidence, row_number() OVER (PARTITION BY k ORDER BY evidence DESC, m) AS r FROM ev) SELECT k, {R('evidence')} AS relevance, m AS best_m FROM rr WHERE r = 1 AND evidence > 0")
 def g26(spark, d):
-    return rounded(E.score_data_clusters(E.evidence(_b1(spark, d), _signals(spark, d))), "relevance", "best_evidence")
+    return rounded(E.score_data_clusters(E.evidence(_b1(spark, d), _signals(spark, d))), "relevance")
 
 
 @query("g26_best_by_m", f"{_B1}, rr AS (SELECT k, m, delta, row_number() OVER (PARTITION BY m ORDER BY abs(delta) DESC, k) AS r FROM hy) SELECT k, m, {R('delta')} AS delta FROM rr WHERE r = 1")
@@ -179,17 +179,17 @@ def q9(spark, d):
     return rounded(E.predicted_shifts(_b1(spark, d), _signals(spark, d), _labels(spark, d)).select("k", "m", "evidence", "title", "direction"), "evidence")
 
 
-_PAIR = f"""{_B1}, {_LB}, vc AS (SELECT feature, max(max_act) AS c FROM features WHERE side = 'C' AND row_idx < 40 GROUP BY 1), vr AS (SELECT feature, max(max_act) AS r FROM features WHERE side = 'R' AND row_idx < 40 GROUP BY 1),
+_PAIR = f"""{_B1}, {_LB}, vc AS (SELECT feature, max(max_act) AS c FROM features WHERE side = 'C' AND row_idx IN ({I.LIVE}) GROUP BY 1), vr AS (SELECT feature, max(max_act) AS r FROM features WHERE side = 'R' AND row_idx IN ({I.LIVE}) GROUP BY 1),
 uv AS (SELECT feature, CAST(coalesce(c, 0) > 0.01 AS INT) - CAST(coalesce(r, 0) > 0.01 AS INT) AS act FROM vc FULL JOIN vr USING (feature)), sg AS (SELECT m, sum(coalesce(act, 0)) AS signal FROM clusters LEFT JOIN uv USING (feature) GROUP BY m),
 bm AS (SELECT k, m FROM (SELECT k, m, row_number() OVER (PARTITION BY m ORDER BY abs(delta) DESC, k) AS r FROM hy) WHERE r = 1),
 sd AS (SELECT CASE WHEN signal > 0 THEN 'promoted' ELSE 'suppressed' END AS side, m, k, signal FROM sg JOIN bm USING (m) WHERE signal <> 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(signal) DESC, m) AS r FROM sd)"""
 
 
-@query("q10_mode_b", f"{_PAIR} SELECT side, m, k, CAST(signal AS DOUBLE) AS signal, coalesce(title, 'T_' || m) AS title, CASE WHEN abs(signal) >= 0.15 THEN 'strong' WHEN abs(signal) >= 0.05 THEN 'moderate' ELSE 'weak' END AS strength, CAST(r AS INT) AS rank FROM rk LEFT JOIN lb USING (m) WHERE r <= 5")
+@query("q10_mode_b", f"{_PAIR} SELECT side, m, k, CAST(signal AS DOUBLE) AS signal, coalesce(title, 'T_' || m) AS title, CASE WHEN abs(signal) > 0.15 THEN 'Strong' WHEN abs(signal) > 0.05 THEN 'Moderate' ELSE 'Weak' END AS strength, CAST(r AS INT) AS rank FROM rk LEFT JOIN lb USING (m) WHERE r <= 5")
 def q10(spark, d):
     f = I.features(spark, d)
-    one = lambda s: f.where(f"side = '{s}' AND row_idx < 40").groupBy("feature").agg(F.max("max_act").alias("act"))
+    one = lambda s: I.live(spark, d, f).where(f"side = '{s}'").groupBy("feature").agg(F.max("max_act").alias("act"))
     sig = E.cluster_signals(E.live_pair(one("C"), one("R")), I.clusters(spark, d), 256)
     return E.pair_concepts(sig, E.best_by_measure(_b1(spark, d)), I.clusters(spark, d), _labels(spark, d)).select("side", "m", "k", "signal", "title", "strength", "rank")
 
@@ -205,13 +205,8 @@ def q12(spark, d):
     return rounded(E.rank_compound(_scores(spark, d), E.parse_conditions("3:amplify:0.03,5:suppress,abc:amplify,99:amplify"), set(range(1, 17))), "score")
 
 
-@query("j9_member_firing", f"{BASE}, c AS (SELECT row_idx, feature, max(CASE WHEN side = 'C' THEN freq ELSE 0 END) AS c_freq, max(CASE WHEN side = 'R' THEN freq ELSE 0 END) AS r_freq FROM features JOIN clusters USING (feature) WHERE side <> 'P' AND m = 3 AND row_idx < 500 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY round(c_freq + r_freq, 9) DESC, feature) AS rank FROM c) SELECT row_idx, feature, {RS('c_freq', 'r_freq')}, CASE WHEN c_freq > 0 AND r_freq > 0 THEN 'both' WHEN c_freq > 0 THEN 'chosen' ELSE 'rejected' END AS active_in, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query("j9_member_firing", f"{BASE}, c AS (SELECT row_idx, feature, max(CASE WHEN side = 'C' THEN freq ELSE 0 END) AS c_freq, max(CASE WHEN side = 'R' THEN freq ELSE 0 END) AS r_freq FROM features JOIN clusters USING (feature) WHERE side <> 'P' AND m = 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY round(c_freq + r_freq, 9) DESC, feature) AS rank FROM c) SELECT row_idx, feature, {RS('c_freq', 'r_freq')}, CASE WHEN c_freq > 0 AND r_freq > 0 THEN 'both' WHEN c_freq > 0 THEN 'chosen' ELSE 'rejected' END AS active_in, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def j9(spark, d):
-    return rounded(E.member_firing(I.features(spark, d), I.examples(spark, d).where("row_idx < 500"), I.clusters(spark, d).where("m = 3")), "c_freq", "r_freq")
-
-
-@query("j9_member_firing_whole", SQL["j9_member_firing"].replace(" AND row_idx < 500", ""))
-def j9_whole(spark, d):
     return rounded(E.member_firing(I.features(spark, d), I.examples(spark, d), I.clusters(spark, d).where("m = 3")), "c_freq", "r_freq")
 
 
@@ -268,19 +263,20 @@ def w11(spark, d):
     return L.random_members(I.assignments(spark, d))
 
 
-_DEC = ", ds AS (SELECT m, row_idx, round(s, 6) AS score FROM scores), qs AS (SELECT m, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM ds GROUP BY m), dd AS (SELECT m, row_idx, score, len(list_filter(q, lambda c: score >= round(c, 9))) AS decile FROM ds JOIN qs USING (m)), rr AS (SELECT *, row_number() OVER (PARTITION BY m, decile ORDER BY score DESC, row_idx) AS r FROM dd)"
+_WANT = ", wt AS (SELECT m, least(30, greatest(4, count(*) // 2)) AS want FROM clusters GROUP BY m)"
+_DEC = _WANT + ", ds AS (SELECT m, row_idx, round(s, 6) AS score FROM scores WHERE round(s, 6) > 0), qs AS (SELECT m, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM ds GROUP BY m), dd AS (SELECT m, row_idx, score, len(list_filter(q, lambda c: score >= round(c, 9))) AS decile FROM ds JOIN qs USING (m)), rr AS (SELECT *, row_number() OVER (PARTITION BY m, decile ORDER BY score DESC, row_idx) AS r FROM dd JOIN wt USING (m))"
 
 
-@query("w12_deciles", f"{BASE}{_DEC} SELECT m, row_idx, CAST(decile AS INT) AS decile, {R('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY decile, r) AS place FROM rr WHERE r <= 1) WHERE place <= 10")
+@query("w12_deciles", f"{BASE}{_DEC} SELECT m, row_idx, CAST(decile AS INT) AS decile, {R('score')} AS score, CAST(row_number() OVER (PARTITION BY m ORDER BY score DESC, row_idx) AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY decile, r) AS place FROM rr WHERE r <= greatest(1, want // 10)) WHERE place <= want")
 def w12(spark, d):
     s = _scores(spark, d).select("m", "row_idx", F.round("s", 6).alias("score"))
-    return rounded(L.decile_sample(s), "score")
+    return rounded(L.decile_sample(s, I.clusters(spark, d)), "score")
 
 
-@query("w13_top_disparity", f"{BASE}, z AS (SELECT m, row_idx, u_num, count(*) OVER (PARTITION BY m) AS c, row_number() OVER (PARTITION BY m ORDER BY abs(u_num) DESC, row_idx) AS rank FROM scores WHERE u_num <> 0) SELECT m, row_idx, u_num, CAST(rank AS INT) AS rank FROM z WHERE rank <= least(8, greatest(4, c // 2))")
+@query("w13_top_disparity", f"{BASE}, wt AS (SELECT m, least(8, greatest(4, count(*) // 2)) AS want FROM clusters GROUP BY m), z AS (SELECT m, row_idx, u_num, row_number() OVER (PARTITION BY m ORDER BY abs(u_num) DESC, row_idx) AS rank FROM scores WHERE u_num <> 0) SELECT m, row_idx, u_num, CAST(rank AS INT) AS rank FROM z JOIN wt USING (m) WHERE rank <= want")
 def w13(spark, d):
     s = _scores(spark, d).select("m", "row_idx", F.col("u_num").alias("u"))
-    return L.top_disparity(s).select("m", "row_idx", F.col("u").alias("u_num"), F.col("rank").cast("int").alias("rank"))
+    return L.top_disparity(s, I.clusters(spark, d)).select("m", "row_idx", F.col("u").alias("u_num"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("m1_assign_step", f"{BASE}{_SILENT}, ce AS (SELECT k, m, avg(s) AS c FROM scores JOIN assignments USING (row_idx) GROUP BY 1, 2), cn AS (SELECT k, sqrt(sum(c * c)) AS l FROM ce GROUP BY k), co AS (SELECT row_idx, k, round(sum(s * c) / any_value(l) / any_value(s_norm), 9) AS cosine FROM scores JOIN ce USING (m) JOIN cn USING (k) JOIN nm USING (row_idx) WHERE s_norm > 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY cosine DESC, k) AS i FROM co) SELECT row_idx, {R('cosine')} AS cosine FROM r WHERE i = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.stats import strip
+from tessera.sources.storage import number_rows
 
 SIDES = ("prompt", "chosen", "rejected")
 
@@ -23,9 +24,9 @@ def span(df: DataFrame, column: str, side: str, chosen: str) -> Column:
 
 
 def extract(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected", id_col: str = "example_id", max_samples: int = 0) -> DataFrame:
-    """example_id, prompt, chosen, rejected: trimmed, rows with an empty span left out, the first max_samples raw rows."""
+    """example_id, prompt, chosen, rejected: trimmed, rows with an empty span left out, of the first max_samples raw rows by id."""
     if max_samples > 0:
-        df = df.where(F.col(id_col) < max_samples)  # ids are positions of the raw rows
+        df = number_rows(df, [id_col], "__raw").where(F.col("__raw") < max_samples)
     spans = [strip(span(df, c, s, chosen)).alias(s) for s, c in zip(SIDES, (prompt, chosen, rejected), strict=True)]
     return df.select(F.col(id_col).alias("example_id"), *spans).where("prompt <> '' AND chosen <> '' AND rejected <> ''")
 

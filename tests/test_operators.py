@@ -83,7 +83,7 @@ def test_union_probability_is_the_direct_one(spark):
 
 def test_conditions():
     assert E.parse_conditions("7:amplify:0.03,4:suppress") == [(7, "amplify", 0.03), (4, "suppress", 0.01)]
-    assert E.parse_conditions("abc:amplify,9:amplify:notafloat,,5:backflip") == [(9, "amplify", 0.01), (5, "amplify", 0.01)]
+    assert E.parse_conditions("abc:amplify,9:amplify:notafloat,,5:backflip,7, 3 : suppress :") == [(9, "amplify", 0.01), (5, "amplify", 0.01), (3, "suppress", 0.01)]
     assert E.parse_conditions("1:suppress", 0.5) == [(1, "suppress", 0.5)] and E.parse_conditions("") == []
 
 
@@ -105,6 +105,7 @@ def test_live_queries(spark):
     got = E.rank_compound(two, [(1, "amplify", 0), (2, "amplify", 0)], {1, 2}).collect()
     assert [(r["row_idx"], r["score"]) for r in got] == [(0, 5), (3, 4)]
     assert E.rank_compound(two, [(9, "amplify", 0)], {1, 2}).count() == 5
+    assert E.rank_compound(two, [(9, "amplify", 0)], {1, 2}, rows=spark.range(9).withColumnRenamed("id", "row_idx")).count() == 9
     with pytest.raises(ValueError):
         E.rank_compound(two, [], {1, 2}, strict=True)
     ex = spark.range(5).select(F.col("id").alias("row_idx"))
@@ -157,7 +158,7 @@ def test_examples_and_lookup(spark):
     got = S.extract(spark.createDataFrame(rows, f"example_id long, chosen {turns}, rejected {turns}")).collect()
     assert [tuple(r) for r in got] == [(0, "hi", "good", "bad")]
     flat = spark.createDataFrame([(i, f"prompt {i} — ünïcode ✓", f"c{i}", f"r{i}") for i in range(50)], "example_id long, prompt string, chosen string, rejected string")
-    assert S.extract(flat, max_samples=7).count() == 7 and S.extract(flat.drop("rejected")).count() == 0
+    assert S.extract(flat, max_samples=7).count() == 7 and S.extract(flat.withColumn("example_id", F.col("example_id") * 10 + 10), max_samples=7).agg(F.max("example_id")).first()[0] == 70 and S.extract(flat.drop("rejected")).count() == 0
     num = storage.number_rows(flat, [F.desc("example_id")])
     assert {r["example_id"]: r["row_idx"] for r in num.collect()} == {i: 49 - i for i in range(50)}
     assert [r["row_idx"] for r in S.lookup(num, -1, n=50).collect()] == [49] and S.lookup(num, 10, 20).count() == 10
@@ -191,7 +192,43 @@ def test_validation_edges(spark):
     p = A.permutation_p(xy, 50).first()[0]
     assert 0 < p <= 1 and A.permutation_p(xy.repartition(3), 50).first()[0] == p
     ci = A.bootstrap_ci(xy, 50, paired=True).first()
-    assert -1 <= ci["lo"] <= ci["hi"] <= 1
+    assert 0 <= ci["lo"] <= ci["hi"] <= 1
+    wide = A.negative_control(xy, 300, k=5).first()
+    assert 0 < wide["mean_r2"] < wide["p95_r2"] <= 1
+
+
+def test_label_rules(spark):
+    from tessera.operators import details as D, labels as L
+
+    df = spark.createDataFrame([(1, 0, "Naïve users' \"ABOUT\" été2 l'école x_words «quoted» it's-hyphen (apples), apples!")], "k int, place int, text string")
+    assert [r["token"] for r in L.tokens(df).orderBy("pos").collect()] == ["naïve", "users", "quoted", "hyphen", "apples", "apples"]
+    assert [r["token"] for r in L.keyword_tokens(df).orderBy("pos").collect()] == ["naïve", "users", "l'école", "x_words", "«quoted»", "it's-hyphen", "apples", "apples"]
+    samples = df.unionByName(spark.createDataFrame([(0, 0, "silent words"), (3, 0, ""), (4, 0, "other words")], df.schema))
+    got = {r["k"]: r for r in L.label_clusters(samples, spark.createDataFrame([(4, "kept", "d", ["w"])], "k int, title string, description string, keywords array<string>")).collect()}
+    assert got[1]["title"] == "Topic Cluster 1: Apples/naïve" and got[1]["keywords"][0] == "apples" and got[0]["title"] == "Silent Bucket (B_0)" and got[3]["keywords"] == [] and got[4]["title"] == "kept"
+    own = L.label_clusters(samples, spark.createDataFrame([], "k int, title string, description string, keywords array<string>"), lambda s: s.where("k = 1").selectExpr("k", "'mine' title", "'' description", "array('a') keywords"))
+    assert {r["k"]: r["title"] for r in own.collect()} == {1: "mine", 0: "Silent Bucket (B_0)", 3: "Topic Cluster 3: ", 4: "Topic Cluster 4: Words"}
+    lists = spark.createDataFrame([(1, []), (2, ["x"])], "m int, v array<string>")
+    full = D.with_fallback(lists, spark.createDataFrame([(1, ["a"]), (3, ["c"])], lists.schema), "m", "v")
+    assert {r["m"]: r["v"] for r in full.collect()} == {1: ["a"], 2: ["x"], 3: ["c"]}
+
+
+def test_bottlenecks_and_sufficiency(spark):
+    d = spark.createDataFrame([("amp_sup", 1, 2, 300, 60, 4), ("amp_sup", 1, 3, 300, 60, 0), ("amp_sup", 2, 3, 900, 60, 0), ("amp_sup", 2, 1, 900, 49, 0), ("amp_sup", 3, 1, 199, 60, 0), ("amp_sup", 4, 1, 300, 60, 6), ("amp_sup", 5, 1, 300, 60, 3)], "mode string, a int, b int, demand_a long, demand_b long, joint long")
+    got = A.bottlenecks(d, labels=spark.createDataFrame([(3, "three")], "m int, title string")).collect()
+    assert [(r["a"], r["b"], r["severity"]) for r in got] == [(2, 3, "Critical Zero"), (1, 3, "Critical Zero"), (5, 1, "Severe Deficit"), (1, 2, "Moderate Deficit")]
+    assert got[0]["title_a"] == "T_2" and got[0]["title_b"] == "three" and got[3]["joint_ratio"] == 4 / 300
+    x = spark.createDataFrame([(1, None, 40, None), (2, 3, 40, 40), (3, 29, 40, 40), (4, 500, 40, 29), (5, 500, 40, 38), (6, 1, 10, 2)], "id int, n long, n_features int, n_active int").selectExpr("*", "0.3D mean_in", "0.1D mean_out", "0.0D var_in", "0.0D var_out", "100 n_out")
+    r = {v["id"]: v for v in A.sufficiency(x).collect()}
+    assert [r[i]["verdict"] for i in range(1, 7)] == ["UNINDEXED", "CRITICAL", "DEFICIENT", "DEFICIENT", "SUFFICIENT", "CRITICAL"]
+    assert [r[i]["recommended_quota"] for i in range(1, 7)] == [340, 0, 0, 340, 0, 150] and r[1]["risk_score"] == 100 and r[6]["welch_z"] == 0 and r[3]["welch_z"] == pytest.approx(0.2 / 1e-6)
+
+
+def test_long_chains_settle(spark):
+    from tessera.operators.communities import label_propagation
+
+    e = spark.range(300).selectExpr("cast(id as int) src", "cast(id + 1 as int) dst", "1.0D weight")
+    assert {r["root"] for r in label_propagation(e).collect()} == {0}
 
 
 def test_whole_run(spark):

@@ -8,7 +8,7 @@ def test_span_pool_uses_tokens_beyond_64(spark, tmp_path):
 
     text = " ".join(["filler"] * 64 + ["distinctive"])
     spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r["row_idx"], r["max_act"], r["freq"]) for r in QUERIES["e6_span_pool_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r["row_idx"], r["max_act"], r["freq"]) for r in QUERIES["e6_span_pool"](spark, str(tmp_path)).collect())
     assert got == [(0, 1.6, round(64 / 65, 6)), (0, 2.1, round(1 / 65, 6))]
 
 
