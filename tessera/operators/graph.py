@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.stats import entropy, normalized_mi
 from tessera.operators.features import RESPONSES, firing_probability
+from tessera.sources.storage import exact_percentile
 
 
 def cooccurrence(features: DataFrame, keep: DataFrame | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def mi_pairs(features: DataFrame, n: int, min_p: float = 0.001) -> DataFrame:
 def edges(pairs: DataFrame, top_percent: float = 1.0) -> DataFrame:
     """Pairs at or above the percentile of the positive weights."""
     positive = pairs.where("weight > 0")
-    cut = positive.agg(F.percentile("weight", 1 - top_percent / 100).alias("cut"))
+    cut = exact_percentile(positive, "weight", 1 - top_percent / 100, "cut")
     return positive.join(F.broadcast(cut), F.col("weight") >= F.col("cut")).select("src", "dst", "weight")
 
 

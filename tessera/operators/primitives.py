@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators.features import RESPONSES, signed
+from tessera.sources.storage import exact_percentile
 
 
 def scores(features: DataFrame, clusters: DataFrame, tau: float = 0.01, weighted: bool = False) -> DataFrame:
@@ -26,11 +27,8 @@ def norms(scores_: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def silent(norms_: DataFrame, percent: float = 5.0) -> DataFrame:
-    """norms with gamma (exact percentile, linear between neighbours) and silent: s_norm < gamma.
-
-    The percentile merges counts of distinct norms, so its state is bounded by their number and not by the rows.
-    """
-    gamma = norms_.agg(F.percentile("s_norm", percent / 100).alias("gamma"))
+    """norms with gamma (exact percentile, linear between neighbours) and silent: s_norm < gamma."""
+    gamma = exact_percentile(norms_, "s_norm", percent / 100, "gamma")
     return norms_.crossJoin(F.broadcast(gamma)).withColumn("silent", F.col("s_norm") < F.col("gamma"))
 
 

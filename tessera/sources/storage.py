@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A new path below spark.checkpoint.dir; a folder of our own only where that is unset, in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera_")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
@@ -54,3 +57,16 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_idx")
     counts = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
     before = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"))
     return placed.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + place).drop("__p", "__id", "__before")
+
+
+def exact_percentile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """One row: the exact percentile of a column's values that aren't null, linear between neighbours; null without any.
+
+    Values are numbered over range partitions and the two neighbours fetched by number, so no task or driver holds more
+    than a partition, however many distinct values there are.
+    """
+    placed = number_rows(df.select(column).where(F.col(column).isNotNull()), [column], "__i")
+    at = (placed.count() - 1) * share
+    low, high = int(at // 1), int(-(-at // 1))
+    two = placed.where(F.col("__i").isin(low, high)).agg(F.min_by(column, "__i").alias("a"), F.max_by(column, "__i").alias("b"))
+    return two.select((F.col("a") if low == high else (high - at) * F.col("a") + (at - low) * F.col("b")).alias(name))

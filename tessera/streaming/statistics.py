@@ -12,13 +12,13 @@ def statistics(cells: DataFrame) -> DataFrame:
     return cells.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
 
 
-def stream_statistics(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+def stream_statistics(spark: SparkSession, path: str, schema, files_per_batch: int = 1, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """The statistics of an events table, read as a stream of files and merged from the batches' own statistics.
 
     Each batch writes its statistics below its number, so a batch that runs again replaces its own output; the
-    checkpoint holds which files are done, and a later call with the same folders goes on from there.
+    checkpoint holds which files are done, and a later call with the same folders `out` and `checkpoint` goes on from there.
     """
-    out, checkpoint = scratch(spark, "stream-stats"), scratch(spark, "stream-state")
+    out, checkpoint = out or scratch(spark, "stream-stats"), checkpoint or scratch(spark, "stream-state")
     cells = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     cells = cells.select((F.col("user_id") % 8).cast("int").alias("k"), F.col("event_type").alias("m"), F.col("value").alias("u"))
 

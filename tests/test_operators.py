@@ -244,3 +244,21 @@ def test_whole_run(spark):
     assert s["num_examples"] == 400 and s["num_feature_clusters"] == 4 and out["assignments"].count() == 400
     with pytest.raises(ValueError):
         Config(silent_percent=120)
+
+
+def test_exact_percentile(spark):
+    df = spark.createDataFrame([(float(i * 7 % 101) if i else None,) for i in range(102)], "x double")
+    for share in (0.0, 0.05, 0.333, 0.5, 1.0):
+        want = np.percentile([float(i * 7 % 101) for i in range(1, 102)], 100 * share)
+        assert storage.exact_percentile(df, "x", share, "p").first()["p"] == pytest.approx(want)
+    assert storage.exact_percentile(df.limit(0), "x", 0.5, "p").first()["p"] is None
+
+
+def test_stream_goes_on(spark, tmp_path):
+    from tessera.streaming.statistics import stream_statistics
+
+    path, more = f"file://{tmp_path}/events", dict(out=f"file://{tmp_path}/out", checkpoint=f"file://{tmp_path}/ck")
+    for n in (1, 2):
+        spark.createDataFrame([(8, "a", 1.5), (1, "b", 2.0)], "user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(path)
+        got = stream_statistics(spark, path, spark.read.parquet(path).schema, **more)
+        assert {(r["k"], r["m"]): (r["n"], r["s"]) for r in got.collect()} == {(0, "a"): (n, 1.5 * n), (1, "b"): (n, 2.0 * n)}
