@@ -9,19 +9,23 @@ ten bits after them, in 16 bits. Equal sets become one class before anything els
    of 7 of 256 registers missed none of 5,000 simulated pairs at 0.8 of 18, 27 and 45 shingles each, and rarely below
    0.4 meet. Very small sets are missed far more often, so where the smaller set has up to SMALL shingles a pair also
    shares an exact key (exact_keys): these make buckets like those of the bands.
-2. Stars. In each bucket of two or more, every document is paired only with the bucket's hub: the document that meets
-   most others over all its bands. Pairs grow with the rows, not with the square of a bucket.
-3. Check. Pairs whose collision-corrected estimate is far below the threshold go; the others are verified on full sets.
-4. Rest. Links make components. Two documents x and y of different components that share a bucket also share its hub
-   h, with which each has its overlap. They overlap by no more than min(|x & h|, |y & h|) + |(x & y) - h|, so a link
-   needs at least p|x| - |x & h| common shingles outside h (p: the threshold). Of the shingles outside h, the rarest in
-   the hub's family come first, and a document needs to offer only |x - h| - need + 1 of them (prefix filter); pairs
-   come from shared offers. Pairs that could be linked by their overlap with h alone are found by that bound. So no link
-   between components that share a bucket is left out, and a family of copies that differ too much gives few pairs.
-5. Components by repeated hooking to smaller neighbours and shortcutting, each round cut by a written table.
-
-Scale: texts are shuffled once (only candidates' texts come back for verification), band rows have 16 bytes, small sets have up to five more, hot buckets
-collapse before the shuffle and are joined to one hub row, whose large side Spark splits.
+2. Stars. In each bucket of two or more, every document is paired only with the bucket's hub. A bucket's hub gives way to
+   the best hub that it meets and resembles (hub_stars), so a family of copies has one hub or a few, and pairs grow with the
+   rows, not with the square of a bucket.
+3. Check. Pairs whose collision-corrected estimate is far below the threshold go; the others are verified on full sets,
+   as differences from the hub.
+4. Rest. Links make components. Documents of different components that share a bucket also share its hub; how each differs
+   from it tells exactly whether they are linked, and that any link needs common shingles among those differences
+   (_across): pairs come from the rarest of them (prefix filter) and are decided by them. No link between documents that
+   share a bucket is left out, and a family of copies that differ too much gives few pairs.
+5. Components by hooking to smaller neighbours and contracting, each round cut by a written table.
+
+Classes of equal sets are named by numbers of their own, so a doc_id that stands for several texts loses no link; doc_ids
+come back only when the components are known.
+
+Scale: texts are shuffled once (only candidates' texts come back for verification), band rows have 16 bytes, small sets have
+up to five more, hot buckets collapse before the shuffle and are joined to one hub row, whose large side Spark splits; a
+hub's text moves once for each MEMBERS of its pairs.
 """
 
 from __future__ import annotations
