@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, exact deduplication, near deduplication, packing."""
+"""The corpus pipeline: toxicity, exact deduplication, near deduplication, packing.
+
+Every stage but the last keeps the columns of documents, extra ones too, whatever their names. Null texts count as empty:
+they score as a text that says nothing, are equal to each other and to empty ones, have no near copy, and pack as the end id
+alone. Rows that repeat a doc_id are told apart by their place in the file. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +21,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z in lower case) the document with the largest doc_id."""
+    """Of equal texts (A-Z in lower case) the document with the largest doc_id; of ties the last row by place. Null doc_ids
+    count as the smallest."""
     from tessera.llm.dedup import keep_one
 
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more the document with the smallest doc_id."""
+    """Of each group linked by five-word shingles at 0.8 or more the row with the smallest doc_id; of ties the first by place.
+    Rows without a word or without a doc_id all stay."""
     from tessera.llm.minhash import keep_first
 
     return keep_first(docs, width=5, percent=80)
