@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.text import clean_description, clean_title, first_upper
+
 # The words that say nothing of a cluster.
 STOP = """
 about after again against almost along already also although always among another answer anyone anything around because before
@@ -28,11 +30,16 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
     return _exploded(df, F.transform(runs, lambda w: F.trim(w, F.lit("'"))), lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))
 
 
+def bare_words(text: Column) -> Column:
+    """Lower-cased words between white space without punctuation at their ends; empty ones left out."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[^{BLANK}]+"), F.lit(0))
+    return F.filter(F.transform(runs, lambda w: F.trim(w, F.lit(".,!?;:'\"()"))), lambda w: w != "")
+
+
 def keyword_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """df with pos, token: lower-cased words between white space without punctuation at their ends, of five characters or more,
     stop words left out."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[^{BLANK}]+"), F.lit(0))
-    return _exploded(df, F.transform(runs, lambda w: F.trim(w, F.lit(".,!?;:'\"()"))), lambda w: F.lit(True))
+    return _exploded(df, bare_words(F.col(text)), lambda w: F.lit(True))
 
 
 def weighted_tokens(df: DataFrame, key: str, weight: str, n: int = 8) -> DataFrame:
@@ -91,33 +98,49 @@ def top_disparity(scores: DataFrame, clusters: DataFrame, most: int = 8) -> Data
 
 
 SILENT = 0
+# The label of the silent rows.
+SILENT_TITLE = "Silent Bucket (B_0)"
+SILENT_DESCRIPTION = "Examples with low response-side SAE feature activity."
+SILENT_KEYWORDS = ["silent", "low_activation"]
 
 
-def keyword_labels(samples: DataFrame, key: str = "k", order: str = "place") -> DataFrame:
+def keyword_labels(samples: DataFrame, key: str = "k", order: str = "place", silent: int | None = SILENT) -> DataFrame:
     """key, title, description, keywords of each cluster's sample texts (key, order, text), without a model.
 
-    The five commonest words; the title names the first two, the description the first four. Cluster 0 holds the silent rows
-    and has a label of its own. A cluster without a word has no keyword.
+    The five commonest words; the title names the first two, the description the first four. The cluster `silent` holds the
+    silent rows and has a label of its own. A cluster without a word has no keyword.
     """
     words = keywords(keyword_tokens(samples).drop("text"), key, order)
     top = words.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
     top = samples.select(key).distinct().join(top, key, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-    pair = F.array_join(F.slice("keywords", 1, 2), "/")
-    title = F.concat(F.lit("Topic Cluster "), F.col(key).cast("string"), F.lit(": "), F.upper(F.substring(pair, 1, 1)), F.substring(pair, 2, 1 << 20))
+    title = F.concat(F.lit("Topic Cluster "), F.col(key).cast("string"), F.lit(": "), first_upper(F.array_join(F.slice("keywords", 1, 2), "/")))
     text = F.concat(F.lit("Cluster containing responses associated with "), F.array_join(F.slice("keywords", 1, 4), ", "), F.lit("."))
-    silent = F.col(key) == SILENT
-    return top.select(key, F.when(silent, "Silent Bucket (B_0)").otherwise(title).alias("title"), F.when(silent, "Rows whose prompts fire too little to tell a topic.").otherwise(text).alias("description"), F.when(~silent, F.col("keywords")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+    quiet = F.lit(False) if silent is None else F.col(key) == silent
+    fixed = dict(zip(("title", "description", "keywords"), (F.lit(SILENT_TITLE), F.lit(SILENT_DESCRIPTION), F.array(*map(F.lit, SILENT_KEYWORDS))), strict=True))
+    return top.select(key, *(F.when(quiet, fixed[c]).otherwise(x).alias(c) for c, x in (("title", title), ("description", text), ("keywords", F.col("keywords")))))
 
 
-def label_clusters(samples: DataFrame, done: DataFrame, labeler=keyword_labels, key: str = "k") -> DataFrame:
+def label_clusters(samples: DataFrame, done: DataFrame, labeler=None, key: str = "k", fallback=None, generated: bool = False) -> DataFrame:
     """Labels of all clusters: those in `done` stay, the others get theirs from `labeler`, a function of sample rows (key, place,
-    text) to rows (key, title, description, keywords); it may call a model by mapInPandas. What it leaves out or returns
-    without a title falls back to keyword_labels."""
+    text) to rows (key, title, description, keywords); it may call a model by mapInPandas.
+
+    With `generated` its titles and descriptions lose their openings and its keywords are cleaned. What it leaves out or
+    returns without a title, and what is too short after the clean-up, comes from `fallback`, by default keyword_labels; then
+    the silent rows' cluster never reaches the labeler.
+    """
     todo = samples.join(done.select(key).distinct(), key, "left_anti")
-    made = labeler(todo).select(key, "title", "description", "keywords").where("coalesce(title, '') <> ''")
-    if labeler is not keyword_labels:
-        made = merge_labels(made, keyword_labels(todo), key)
-    return merge_labels(done.select(key, "title", "description", "keywords"), made, key)
+    words = (fallback or (lambda d: keyword_labels(d, key)))(todo)
+    if labeler is not None and labeler is not fallback:
+        made = labeler(todo if fallback else todo.where(F.col(key) != SILENT)).select(key, "title", "description", "keywords").where("coalesce(title, '') <> ''")
+        words = merge_labels(clean_labels(made, words, key) if generated else made, words, key)
+    return merge_labels(done.select(key, "title", "description", "keywords"), words, key)
+
+
+def clean_labels(made: DataFrame, fallback: DataFrame, key: str = "k") -> DataFrame:
+    """made(key, title, description, keywords) without openings; what is too short then, and missing keywords, as in fallback."""
+    other = fallback.select(key, *(F.col(c).alias(f"__{c}") for c in ("title", "description", "keywords")))
+    words = clean_keywords(F.col("keywords"))
+    return made.join(other, key).select(key, clean_title(F.col("title"), F.col("__title")).alias("title"), clean_description(F.col("description"), F.col("__description")).alias("description"), F.when(F.size(words) > 0, words).otherwise(F.col("__keywords")).alias("keywords"))
 
 
 def parse_label(text: Column) -> Column:

@@ -12,18 +12,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.stats import cohens_d, mean, variance, welch_z
 
 
-def welch_grid(values: DataFrame, members: DataFrame, n_all: DataFrame, group: str = "k", measure: str = "m", split: bool = False) -> DataFrame:
+def welch_grid(values: DataFrame, members: DataFrame, n_all: DataFrame, group: str = "k", measure: str = "m", split: bool = False, measures: DataFrame | None = None) -> DataFrame:
     """(group, measure, n_in, n_out, u_in, u_out, delta, z_score, cohens_d and, with split, delta_a, delta_b, ...).
 
     values(row_idx, measure, u): cells, absent = 0, only rows of the pool. members(row_idx, group): a row may be in
     several groups. n_all: one row (n_pool, n_even, n_odd), rows of the pool and of its halves by parity of row_idx.
-    Groups with fewer than two rows inside or outside are left out. The grid has every group with every measure.
+    Groups with fewer than two rows inside or outside are left out. The grid has every group with every measure: those of
+    measures(measure), or without it those with a cell.
     """
     even = (F.col("row_idx") % 2 == 0).cast("int")
     u, ue = F.col("u"), F.col("u") * even
     sums = [F.sum(u).alias("s"), F.sum(u * u).alias("q"), F.sum(ue).alias("se")]
     inside = values.join(members, "row_idx").groupBy(group, measure).agg(*sums)
     total = values.groupBy(measure).agg(*(F.sum(x).alias(f"t{a}") for x, a in ((u, "s"), (u * u, "q"), (ue, "se"))))
+    if measures is not None:
+        total = measures.join(total, measure, "left").fillna(0.0, ["ts", "tq", "tse"])
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_in"), F.sum(even).alias("e_in"))
     grid = sizes.crossJoin(F.broadcast(n_all)).where("n_in >= 2 AND n_pool - n_in >= 2").crossJoin(total)  # groups x measures: the output's own size
     g = grid.join(inside, [group, measure], "left").fillna(0.0, ["s", "q", "se"])

@@ -1,8 +1,8 @@
 """Queries by operator id, each with the DuckDB SQL that must give the same rows."""
 
-from tessera.queries import audits, features, more, views
+from tessera.queries import audits, features, labels, more, views
 
-MODULES = (features, views, audits, more)
+MODULES = (features, views, audits, more, labels)
 
 
 def queries() -> dict:

@@ -220,14 +220,15 @@ def g52(spark, d):
     return L.keywords(L.keyword_tokens(I.base(spark, d, "documents").select("doc_id", "lang", "text")).drop("text"), "lang", "doc_id")
 
 
-_SAMPLES = "sm AS (SELECT CAST(doc_id % 6 AS INT) AS k, doc_id AS place, text FROM documents WHERE doc_id // 6 < 20)"
+_SAMPLES = "sm AS (SELECT CAST(doc_id % 6 AS INT) AS k, row_number() OVER (PARTITION BY doc_id % 6 ORDER BY md5('0:' || doc_id), doc_id) AS place, text FROM documents QUALIFY place <= 20)"
 _KEYS = f"lt AS (SELECT k, place, i AS pos, token FROM (SELECT k, place, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT k, place, list_filter(list_transform(regexp_extract_all(lower(text), '[^{L.BLANK}]+'), lambda x: trim(x, '.,!?;:''\"()')), lambda x: length(x) >= 5 AND x NOT IN ({_STOPS})) AS w FROM sm))), lc AS (SELECT k, token, count(*) AS c, min(place * 100000 + pos) AS f FROM lt GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c DESC, f, token) AS r FROM lc), la AS (SELECT k, list(token ORDER BY r) AS w FROM lr WHERE r <= 5 GROUP BY k)"
 
 
 @query("q5_cluster_labels", f"""WITH {_SAMPLES}, {_KEYS}, lp AS (SELECT k, coalesce(w, []) AS w, array_to_string(coalesce(w, [])[1:2], '/') AS p FROM (SELECT DISTINCT k FROM sm) LEFT JOIN la USING (k))
-SELECT k, CASE WHEN k = 2 THEN 'kept' WHEN k = 0 THEN 'Silent Bucket (B_0)' ELSE 'Topic Cluster ' || k || ': ' || upper(left(p, 1)) || substr(p, 2) END AS title, CASE WHEN k = 2 THEN 'done before' WHEN k = 0 THEN 'Rows whose prompts fire too little to tell a topic.' ELSE 'Cluster containing responses associated with ' || array_to_string(w[1:4], ', ') || '.' END AS description, CASE WHEN k = 2 THEN 'own' WHEN k = 0 THEN '' ELSE array_to_string(w, ' ') END AS keywords FROM lp""")
+SELECT k, CASE WHEN k = 2 THEN 'kept' WHEN k = 0 THEN 'Silent Bucket (B_0)' ELSE 'Topic Cluster ' || k || ': ' || upper(left(p, 1)) || substr(p, 2) END AS title, CASE WHEN k = 2 THEN 'done before' WHEN k = 0 THEN 'Examples with low response-side SAE feature activity.' ELSE 'Cluster containing responses associated with ' || array_to_string(w[1:4], ', ') || '.' END AS description, CASE WHEN k = 2 THEN 'own' WHEN k = 0 THEN 'silent low_activation' ELSE array_to_string(w, ' ') END AS keywords FROM lp""")
 def q5(spark, d):
-    samples = I.base(spark, d, "documents").where("doc_id DIV 6 < 20").select((F.col("doc_id") % 6).cast("int").alias("k"), F.col("doc_id").alias("place"), "text")
+    docs = I.base(spark, d, "documents").select((F.col("doc_id") % 6).cast("int").alias("k"), F.col("doc_id").alias("row_idx"), "text")
+    samples = L.random_members(docs, 20).select("k", F.col("rank").alias("place"), "text")
     done = spark.createDataFrame([(2, "kept", "done before", ["own"])], "k int, title string, description string, keywords array<string>")
     return L.label_clusters(samples, done).withColumn("keywords", F.array_join("keywords", " "))
 
