@@ -171,21 +171,48 @@ def gram(cells: DataFrame) -> DataFrame:
     return a.join(b, "row_idx").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g"))
 
 
-def svd_embedding(cells: DataFrame, rank: int, n_rows: int) -> pd.DataFrame:
-    """Features x components (left vectors times singular values) of the features-by-rows matrix, from its Gram matrix,
-    which is features squared and summed in Spark; only that goes to the driver. Below two components: the Gram rows."""
+#: Widest Gram matrix that goes to the driver: 4,096 features are 8.4 million pairs.
+WIDEST = 4096
+
+
+def svd_embedding(cells: DataFrame, rank: int, n_rows: int, widest: int = WIDEST) -> pd.DataFrame:
+    """Features x components (left vectors times singular values) of the features-by-rows matrix.
+
+    Up to `widest` features by their Gram matrix, which is summed in Spark; beyond that Spark multiplies the rows with
+    vectors and only features x rank numbers go to the driver. Below two components: the Gram rows, or where they are too
+    wide the one component.
+    """
+    names = np.array(sorted(r["feature"] for r in cells.select("feature").distinct().collect()))  # the encoder's width at most
+    rank = min(rank, min(len(names), n_rows) - 1)
+    if len(names) > widest:
+        return _wide_embedding(cells, names, max(1, rank))
     g = gram(cells).toPandas()
-    names = np.unique(np.concatenate([g["i"], g["j"]]))
     m = np.zeros((len(names), len(names)))
     i, j = np.searchsorted(names, g["i"]), np.searchsorted(names, g["j"])
     m[i, j] = m[j, i] = g["g"]
-    rank = min(rank, min(len(names), n_rows) - 1)
     if rank < 2:
         return pd.DataFrame(m, index=names)
     value, vector = np.linalg.eigh(m)
     order = np.argsort(-value)[:rank]
-    vector = vector[:, order] * np.sign(vector[np.abs(vector[:, order]).argmax(axis=0), order])
-    return pd.DataFrame(vector * np.sqrt(np.maximum(value[order], 0)), index=names)
+    return pd.DataFrame(_signed(vector[:, order]) * np.sqrt(np.maximum(value[order], 0)), index=names)
+
+
+def _signed(vectors: np.ndarray) -> np.ndarray:
+    """Each column with its largest entry positive."""
+    return vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+
+
+def _wide_embedding(cells: DataFrame, names: np.ndarray, rank: int) -> pd.DataFrame:
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark = cells.sparkSession
+    place = F.broadcast(spark.createDataFrame(pd.DataFrame({"feature": names.astype("int64"), "i": np.arange(len(names))})))
+    rows = cells.join(place, "feature").groupBy("row_idx").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"))).alias("c"))
+    wide = len(names)
+    rows = rows.select("c").rdd.map(lambda r: Vectors.sparse(wide, sorted((v["i"], v["x"]) for v in r["c"])))  # a row's firing features
+    got = RowMatrix(rows.cache(), numCols=wide).computeSVD(rank)
+    return pd.DataFrame(_signed(got.V.toArray()) * got.s.toArray(), index=names)
 
 
 def row_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:

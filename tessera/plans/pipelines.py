@@ -34,8 +34,10 @@ class Config:
     def __post_init__(self):
         if not 0 <= self.silent_percent < 100 or not 0 < self.top_percent <= 100:
             raise ValueError("percentages must lie in 0..100")
-        if min(self.n_data_clusters, self.min_community, self.n_top, self.n_prompt_clusters, self.n_response_clusters) < 1 or self.tau < 0:
+        if min(self.n_data_clusters, self.min_community, self.min_feature_cluster, self.min_data_cluster, self.n_top, self.n_prompt_clusters, self.n_response_clusters, self.svd_rank) < 1 or self.tau < 0:
             raise ValueError("counts must be positive and tau not negative")
+        if self.gamma <= 0 or not 0 <= self.min_p < 1:
+            raise ValueError("gamma must be positive and min_p in 0..1")
 
 
 def feature_view(scores: DataFrame, assignments: DataFrame, cfg: Config = Config()) -> DataFrame:
