@@ -5,6 +5,10 @@ s words, windows of s + s // 8 words start every max(1, s // 8) words, so wherev
 window holds it whole. A window that holds at least 0.8 of a template's shingles has a Jaccard index of at least about
 0.6 with it; 16 bands of 2 hashes meet at 0.6 with a chance of 1 - (1 - 0.36)**16 = 0.9992, and several windows overlap.
 
+Windows only retrieve. What counts is any span of up to twice the template's words that holds at least 0.8 of its distinct
+shingles, so a notice with words put into its middle is a match too. Each retrieved window is searched with a template's
+length of text on both sides; windows that overlap then are searched as one.
+
 A band can only meet a template's where the window holds the shingles that the template's own minima come from, so
 signatures are made only for windows with such a shingle: this skips work, not windows that could match.
 
@@ -14,6 +18,8 @@ Scale: texts are read once, nothing is shuffled or sent to the driver; the templ
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -64,6 +70,31 @@ def _permuted(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for lo, hi in sorted(regions):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _spans(events: list[tuple[int, str]], width: int, longest: int, n: int, threshold: float):
+    """(start, end, share) in words, for every end the span of up to `longest` words with most of the n distinct shingles,
+    without repeated ones at its start; those with the threshold or more. events: (place, shingle) in order."""
+    count, left = Counter(), 0
+    for p, x in events:
+        count[x] += 1
+        while p + width - events[left][0] > longest or count[events[left][1]] > 1:
+            count[events[left][1]] -= 1
+            if not count[events[left][1]]:
+                del count[events[left][1]]
+            left += 1
+        if len(count) / n >= threshold:
+            yield events[left][0], p + width, len(count) / n
+
+
 class Library:
     """The templates by window size, with their bands."""
 
@@ -84,7 +115,11 @@ class Library:
             for w in words:
                 self.ids.setdefault(w, len(self.ids) + 1)
         for (_, width), g in self.groups.items():
-            g["codes"] = np.array(sorted(self.code([[self.ids[w] for w in s.split("\0")] for s in g["minima"]], width)), np.uint64)
+            g["codes"] = self.codes(g["minima"], width)
+            g["own"] = {name: self.codes(some, width) for name, some in g["sets"].items()}
+
+    def codes(self, shingles, width: int) -> np.ndarray:
+        return np.array(sorted(self.code([[self.ids[w] for w in s.split("\0")] for s in shingles], width)), np.uint64)
 
     @staticmethod
     def keys(minima: np.ndarray) -> list[tuple]:
@@ -114,14 +149,16 @@ class Library:
             stride = max(1, size // 8)
             window = size + size // 8
             starts = sorted({s for p in at.tolist() for s in range(max(0, -(-(p + width - window) // stride) * stride), p + 1, stride)})
+            near = {}
             for s in starts:
-                some = _shingles(words[s : s + window], width)
-                names = set().union(*(g["bands"].get(k, ()) for k in self.keys(_permuted(_hash(some)).min(axis=0))))
+                names = set().union(*(g["bands"].get(k, ()) for k in self.keys(_permuted(_hash(_shingles(words[s : s + window], width))).min(axis=0))))
                 for name in names:
-                    hit = [i for i, x in enumerate(some) if x in g["sets"][name]]
-                    share = len({some[i] for i in hit}) / len(g["sets"][name])
-                    if share >= self.threshold:
-                        found.append((name, s + hit[0], s + hit[-1] + width, share))
+                    near.setdefault(name, []).append((max(0, s - size), s + window + size))
+            for name, regions in near.items():
+                for lo, hi in _merged(regions):
+                    at = lo + np.flatnonzero(known[lo : hi - width + 1] & np.isin(code[lo : hi - width + 1], g["own"][name]))
+                    events = [(i, x) for i, x in ((i, "\0".join(words[i : i + width])) for i in at.tolist()) if x in g["sets"][name]]
+                    found += [(name, *m) for m in _spans(events, width, 2 * size, len(g["sets"][name]), self.threshold)]
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text.lower())]
@@ -129,9 +166,11 @@ class Library:
             spans = [m.span() for m in WORD.finditer(text)]
             spans = spans if len(spans) == len(words) else [(0, len(text))] * len(words)
         out, taken = [], {}
-        for name, a, z, share in sorted(found, key=lambda x: (-x[3], x[1], x[0])):
-            if all(z <= b or a >= e for b, e in taken.get(name, ())):
-                taken.setdefault(name, []).append((a, z))
+        for name, a, z, share in sorted(found, key=lambda x: (-x[3], x[2] - x[1], x[1], x[0])):
+            spans_taken = taken.setdefault(name, [])
+            i = bisect_left(spans_taken, (a, z))
+            if (i == 0 or spans_taken[i - 1][1] <= a) and (i == len(spans_taken) or z <= spans_taken[i][0]):
+                spans_taken.insert(i, (a, z))
                 out.append((name, spans[a][0], spans[z - 1][1], share))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
