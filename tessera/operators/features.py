@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.functions.stats import exact_sum
+
 RESPONSES = ("C", "R")
 
 
@@ -63,7 +65,7 @@ def inclusion_exclusion(features: DataFrame) -> DataFrame:
 def delta_moments(features: DataFrame, n: int, value: str = "freq") -> DataFrame:
     """feature, mean_d and population sigma_d of chosen minus rejected over all n rows, zeros included."""
     d = features.where(F.col("side").isin(*RESPONSES)).groupBy("row_idx", "feature").agg(F.sum(signed(value)).alias("d"))
-    out = d.groupBy("feature").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    out = d.groupBy("feature").agg(exact_sum(F.col("d")).alias("s"), exact_sum(F.col("d") * F.col("d")).alias("q"))
     mean = F.col("s") / F.lit(n)
     return out.select("feature", mean.alias("mean_d"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.lit(n) - mean * mean)).alias("sigma_d"))
 
