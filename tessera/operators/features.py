@@ -88,4 +88,4 @@ def cluster_mean(features: DataFrame, clusters: DataFrame, side_value: Column, c
 def firing_stats(features: DataFrame) -> DataFrame:
     """feature, n_examples, max_act, mean_act of chosen plus rejected maxima over rows where the sum is positive; total."""
     cell = features.where(F.col("side").isin(*RESPONSES)).groupBy("row_idx", "feature").agg(F.sum("max_act").alias("a")).where("a > 0")
-    return cell.groupBy("feature").agg(F.count(F.lit(1)).alias("n_examples"), F.max("a").alias("max_act"), F.avg("a").alias("mean_act"), F.sum("a").alias("total"))
+    return cell.groupBy("feature").agg(F.count(F.lit(1)).alias("n_examples"), F.max("a").alias("max_act"), (exact_sum(F.col("a")) / F.count(F.lit(1))).alias("mean_act"), exact_sum(F.col("a")).alias("total"))
