@@ -16,8 +16,10 @@ ten bits after them, in 16 bits. Equal sets become one class before anything els
    as differences from the hub.
 4. Rest. Links make components. Documents of different components that share a bucket also share its hub; how each differs
    from it tells exactly whether they are linked, and that any link needs common shingles among those differences
-   (_across): pairs come from the rarest of them (prefix filter) and are decided by them. No link between documents that
-   share a bucket is left out, and a family of copies that differ too much gives few pairs.
+   (_across): pairs come from the rarest of them (prefix filter, by each pair's own bound) and are decided by them. Before
+   that, documents with such a shingle in common are compared with one of them, which joins those that resemble each
+   other but not the hub. No link between documents that share a bucket is left out, and a family of copies that differ
+   too much gives few pairs.
 5. Components by hooking to smaller neighbours and contracting, each round cut by a written table.
 
 Classes of equal sets are named by numbers of their own, so a doc_id that stands for several texts loses no link; doc_ids
@@ -303,8 +305,12 @@ def _across(t: Tables, seen: DataFrame, percent: int) -> DataFrame:
     are linked if and only if 2 (100 + p) |D(x) & D(y)| >= e(x) + e(y), where e(x) = (100 + p) |D(x)| - (100 - p) |x|.
     The hub has the smallest e, so members it isn't linked with need a common shingle in D for any link. How many x needs
     at least (`need`) follows from the smallest e of a member with another root, and from the largest partner's size;
-    then |D(x)| - need + 1 of them, the rarest in the family, can't all be missed (prefix filter), and of the common ones
-    those that x or y doesn't offer are the last, max(need(x), need(y)) - 1 at most.
+    then |D(x)| - need + 1 of them, the rarest in the family, can't all be missed (prefix filter).
+
+    Members that share an offered shingle are first compared with one of them only, so that those who resemble each other
+    but not the hub make one component by as many pairs as offers. What is left meets in all its pairs: x and y need
+    `both` common shingles, so the first of them is among the |D| - both + 1 rarest of either, and the second (where both
+    sides offer it) one place further at most. Pairs with fewer common ones at such places are not linked.
     """
     p, q = F.lit(100 + percent), F.lit(100 - percent)
     dn, e = F.size("diff").cast("long"), p * F.size("diff") - q * F.col("n")
@@ -316,14 +322,25 @@ def _across(t: Tables, seen: DataFrame, percent: int) -> DataFrame:
     each = seen.join(least, "a").withColumn("need", need).where("need <= dn").select("a", "b", "n", "root", "e", "dn", "need", F.explode("diff").alias("key"))
     common = each.groupBy("a", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     each = each.join(common, ["a", "key"], "left").withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("c", F.lit(1)), "key")))
-    each = t.save(each.where("r <= dn - need + 1 AND c > 1").select("a", "b", "n", "root", "e", "dn", "need", "key"), "offers")
-    again = each.toDF("a", "b2", "n2", "root2", "e2", "dn2", "need2", "key")
+    each = t.save(each.where("r <= dn - need + 1 AND c > 1").select("a", "b", "n", "root", "e", "dn", "need", "r", "key"), "offers")
     fits = (F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")) & (2 * p * F.least("dn", "dn2") >= F.col("e") + F.col("e2"))
-    lacks = F.ceil((F.col("e") + F.col("e2")) / (2 * p)) - F.greatest("need", "need2") + 1  # of the common ones at least so many are offered by both
-    met = each.join(again, ["a", "key"]).where((F.col("root") < F.col("root2")) & fits).groupBy("a", "b", "b2").agg(F.count(F.lit(1)).alias("c"), F.max(lacks).alias("lacks")).where("c >= lacks")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(seen.select("a", "b", "diff", "e", "root"), ["a", "b"]).join(seen.select("a", F.col("b").alias("b2"), F.col("diff").alias("diff2"), F.col("e").alias("e2"), F.col("root").alias("root2")), ["a", "b2"])
+        return sides.where(2 * p * F.size(F.array_intersect("diff", "diff2")) >= F.col("e") + F.col("e2")).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct()
+
+    one = each.groupBy("a", "key").agg(F.min(F.struct("e", "b", "n", "root", "dn")).alias("h")).select("a", "key", *(F.col(f"h.{x}").alias(f"{x}2") for x in ("e", "b", "n", "root", "dn")))
+    links = t.save(linked(each.join(one, ["a", "key"]).where((F.col("root") != F.col("root2")) & fits).select("a", "b", "b2").distinct()), "near-links")
+    if not links.isEmpty():
+        moved = components(t, links, "cc-family").toDF("root", "top")
+        each = t.save(each.join(moved, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "offers-left")
+    again = each.select("a", *(F.col(x).alias(f"{x}2") for x in ("b", "n", "root", "e", "dn", "need", "r")), "key")
+    both = F.greatest(F.ceil((F.col("e") + F.col("e2")) / (2 * p)), "need", "need2")
+    early = F.least(F.col("dn") - F.col("r"), F.col("dn2") - F.col("r2")) + 2 >= both
+    shared = F.least(F.lit(2), both - F.greatest("need", "need2") + 1)
+    met = each.join(again, ["a", "key"]).where((F.col("root") < F.col("root2")) & fits & early).groupBy("a", "b", "b2").agg(F.count(F.lit(1)).alias("c"), F.max(shared).alias("shared")).where("c >= shared")
     pairs = t.save(met.groupBy("b", "b2").agg(F.min("a").alias("a")), "across")
-    both = pairs.join(seen.select("a", "b", "diff", "e", "root"), ["a", "b"]).join(seen.select("a", F.col("b").alias("b2"), F.col("diff").alias("diff2"), F.col("e").alias("e2"), F.col("root").alias("root2")), ["a", "b2"])
-    return both.where(2 * p * F.size(F.array_intersect("diff", "diff2")) >= F.col("e") + F.col("e2")).select(F.col("root").alias("a"), F.col("root2").alias("b")).distinct()
+    return links.union(linked(pairs)).distinct()
 
 
 def _near(docs: DataFrame, width: int, percent: int) -> DataFrame:
